@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, html_extract, quality
+from strandframe.llm import bpe, html_extract, quality, toxicity
 from strandframe.llm.common import table
 
+#: A text with this score or a higher one is taken as toxic.
+TOXIC = 0.3
+
 
 def tokenizer(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
     """The path of a public rank file and its pattern."""
@@ -28,12 +31,18 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(coded))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_bpe, op9_quality_rules]
+    found = [op1_html_extraction, op2_bpe, op6_toxicity, op9_quality_rules]
     return {f.__name__: f for f in found}
 
 
