@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, html_extract, quality, toxicity
+from strandframe.llm import bpe, html_extract, jaccard, quality, toxicity
 from strandframe.llm.common import table
 
 #: A text with this score or a higher one is taken as toxic.
@@ -37,12 +37,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= TOXIC).cast("int").alias("predicted"))
 
 
+def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_bpe, op6_toxicity, op9_quality_rules]
+    found = [op1_html_extraction, op2_bpe, op6_toxicity, op7_ngram_jaccard, op9_quality_rules]
     return {f.__name__: f for f in found}
 
 
