@@ -24,6 +24,7 @@ import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +54,9 @@ ADDRESS = set("you your you're u ur vous tu toi votre du dich dein sie ihr tú u
 _OPEN, _CLOSE = "\"“«„‘'`(", "\"”»“’'`)"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _RUNS = re.compile(r"(\w)\1{2,}")
-_CACHE = 400_000
+_PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&%$_-+=/\\“”„«»‘’`…"
+#: Words and states that a worker remembers.
+_CACHE, STATES_MOST = 400_000, 20_000
 
 
 def edits(term: str) -> int:
@@ -84,8 +87,26 @@ class Lexicon:
                 self.reach[node] = max(self.reach[node], allowed)
             self.ends[node] = (term, stem)
         self.letters = {c for x in self.children for c in x}
-        self.start = self._closed({(0, 0)})
-        self.steps: dict[tuple[frozenset, str], frozenset] = {}
+        self._reset()
+
+    def _reset(self) -> None:
+        """Number 0 is the dead state, 1 the start; ``moves`` of a state by letter, and what it says of a word that ends there."""
+        self.numbers: dict[frozenset, int] = {}
+        self.states: list[frozenset] = []
+        self.moves: list[dict[str, int]] = []
+        self.says: list[int] = []
+        self._number(frozenset())
+        self._number(self._closed({(0, 0)}))
+
+    def _number(self, state: frozenset) -> int:
+        if state not in self.numbers:
+            self.numbers[state] = len(self.states)
+            self.states.append(state)
+            self.moves.append({})
+            ends = [(e, self.ends[node]) for node, e in state if self.ends[node]]
+            words = [e for e, (term, stem) in ends if not stem and e <= edits(term)]
+            self.says.append(2 if any(stem and e == 0 for e, (_, stem) in ends) else 1 if 0 in words else 3 if words else 0)
+        return self.numbers[state]
 
     def _closed(self, states: set[tuple[int, int]]) -> frozenset:
         """With letters of the terms left out at the cost of an edit each."""
@@ -112,40 +133,42 @@ class Lexicon:
 
     def find(self, word: str) -> int:
         """0 no hit, 1 a word of the lexicon, 2 a stem, 3 a misspelled word."""
-        state = self.start
+        if len(self.states) > STATES_MOST:
+            self._reset()
+        at, moves, says = 1, self.moves, self.says
         for c in word:
-            c = c if c in self.letters else "\0"
-            key = (state, c)
-            after = self.steps.get(key)
+            after = moves[at].get(c)
             if after is None:
-                if len(self.steps) > 200_000:
-                    self.steps.clear()
-                after = self.steps[key] = self._step(state, c)
-            state = after
-            if not state:
+                after = moves[at][c] = self._number(self._step(self.states[at], c)) if c in self.letters else self._other(at)
+            if not after:
                 return 0
-            for node, e in state if len(state) < 4 else (x for x in state if x[1] == 0):
-                if e == 0 and self.ends[node] and self.ends[node][1]:
-                    return 2
-        best = 0
-        for node, e in state:
-            if (end := self.ends[node]) and not end[1] and e <= edits(end[0]):
-                best = 1 if e == 0 else best or 3
-        return best
+            at = after
+            if says[at] == 2:
+                return 2
+        return says[at]
+
+    def _other(self, at: int) -> int:
+        """After a character that no term has."""
+        if "" not in self.moves[at]:
+            self.moves[at][""] = self._number(self._step(self.states[at], ""))
+        return self.moves[at][""]
 
     def kind(self, raw: str) -> int:
-        word = _EDGE.sub("", raw.lower())
+        word = raw.lower().strip(_PUNCTUATION)
         if len(word) < SHORTEST:
             return 0
         found = self.find(word)
-        if not found:
-            plain = _RUNS.sub(r"\1", word.translate(LEET))
-            if plain != word and any(c.isalpha() for c in word):
-                found = self.find(plain)
-                found = 3 if found else 0
+        if not found and (_RUNS.search(word) or not word.isalpha() and any(c.isalpha() for c in word)):
+            found = 3 if self.find(_RUNS.sub(r"\1", _EDGE.sub("", word).translate(LEET))) else 0
         return found
 
 
+@lru_cache(maxsize=2)
+def scanner(terms: tuple[tuple[str, bool], ...]) -> Scanner:
+    """One for each worker process, so that what it has learned of words serves all its tasks."""
+    return Scanner(dict(terms))
+
+
 def _context(words: list[str], at: int) -> float:
     """What the window around a hit makes of it."""
     weight = 1.0
@@ -272,10 +295,10 @@ def _features(df: DataFrame, terms: dict[str, bool], text: str) -> DataFrame:
     schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(f"\x00f{k}", T.DoubleType()) for k in range(2 * KINDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = Scanner(terms)
+        scan = scanner(tuple(sorted(terms.items())))
         for batch in batches:
             for row, to, texts in chunks(batch.column(batch.num_columns - 1)):
-                found = scanner.evidence(texts)
+                found = scan.evidence(texts)
                 dense = found / (DENSE * np.maximum(np.diff(texts.first), 50))[:, None]
                 found = np.hstack((1 - np.exp(-found), np.minimum(1, dense)))
                 out = [batch.column(i).slice(row, to - row) for i in range(batch.num_columns - 1)]
