@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, html_extract, jaccard, quality, toxicity
+from strandframe.llm import bpe, html_extract, jaccard, mixing, quality, toxicity, url_filters
 from strandframe.llm.common import table
 
 #: A text with this score or a higher one is taken as toxic.
@@ -31,6 +31,11 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", *bpe.digests(coded))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -45,10 +50,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.filter_urls(table(spark, sf_dir, "pages"), keep=["page_id"]).select("page_id", "host", "path", "rule", "verdict")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_bpe, op6_toxicity, op7_ngram_jaccard, op9_quality_rules]
+    found = [op1_html_extraction, op2_bpe, op3_mixing, op6_toxicity, op7_ngram_jaccard, op9_quality_rules, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_mixing": mixing.ORACLE}
