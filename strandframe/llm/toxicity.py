@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.llm.textvec import Texts, chunks, segment_hashes
+from strandframe.llm.textvec import Texts, chunks
 
 #: Bounds of the fit: labelled rows, word beginnings examined, terms kept.
 LABELS_MOST, BEGINNINGS_MOST, TERMS_MOST = 20_000, 5_000, 500
@@ -133,8 +133,6 @@ class Lexicon:
 
     def find(self, word: str) -> int:
         """0 no hit, 1 a word of the lexicon, 2 a stem, 3 a misspelled word."""
-        if len(self.states) > STATES_MOST:
-            self._reset()
         at, moves, says = 1, self.moves, self.says
         for c in word:
             after = moves[at].get(c)
@@ -187,31 +185,104 @@ def _context(words: list[str], at: int) -> float:
 
 
 class Scanner:
-    """Finds the hits of a lexicon in texts. Keeps what it knows of words, up to a bound."""
+    """Finds the hits of a lexicon in texts: all words of some texts take their steps through the automaton at once, until most of them are in its dead state; the others are looked at one by one."""
 
     def __init__(self, terms: dict[str, bool]) -> None:
         self.lexicon, self.known = Lexicon(terms), {}
+        letters = sorted(self.lexicon.letters)
+        # Numbers of characters: 0 punctuation, 1 letters that no term has, 2 others that need a closer look, then the letters.
+        self.symbols = np.full(0x250, 2, np.int16)
+        for code in range(0x250):
+            low = chr(code).lower()
+            if low.isalpha() and len(low) == 1:
+                self.symbols[code] = letters.index(low) + 3 if low in self.lexicon.letters else 1
+            elif chr(code) in _PUNCTUATION and chr(code) not in "$@":
+                self.symbols[code] = 0
+        self.letters = letters
+        self.table = np.zeros((0, 0), np.int32)
+
+    def _table(self) -> np.ndarray:
+        """The automaton's moves as far as they are known, else -1; number 0 is dead and stays so."""
+        n = len(self.lexicon.states)
+        if len(self.table) < n:
+            table = np.full((2 * n + 64, len(self.letters) + 3), -1, np.int32)
+            table[: len(self.table)] = self.table if self.table.size else -1
+            table[0] = 0
+            self.table = table
+        return self.table
+
+    def _suspects(self, texts: Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The words that don't end in the dead state, or need a closer look; characters of the texts; where words begin among them."""
+        codes = np.frombuffer(texts.data.tobytes().decode(errors="replace").encode("utf-32-le"), np.uint32)
+        places = np.concatenate(([0], np.cumsum((texts.data & 0xC0) != 0x80)))
+        starts, ends = places[texts.starts], places[texts.ends]
+        symbols = np.where(codes < 0x250, self.symbols[np.minimum(codes, 0x24F)], np.int16(2))
+        runs = np.flatnonzero((codes[2:] == codes[1:-1]) & (codes[1:-1] == codes[:-2]) & (symbols[2:] != 0) & (codes[2:] > 32)) if len(codes) > 2 else np.zeros(0, np.int64)
+        closer = [np.searchsorted(starts, runs, "right") - 1]
+        at, words = starts.copy(), np.arange(len(starts))
+        state = np.ones(len(words), np.int32)
+        while True:  # leading punctuation
+            lead = (at < ends) & (state == 1)
+            lead[lead] = symbols[at[lead]] == 0
+            if not lead.any():
+                break
+            at[lead] += 1
+        stops = ends.copy()
+        while True:  # and that at the end
+            tail = stops > at
+            tail[tail] = symbols[stops[tail] - 1] == 0
+            if not tail.any():
+                break
+            stops[tail] -= 1
+        says = np.array(self.lexicon.says)
+        while len(words):
+            live = at < stops[words]
+            if len(says) < len(self.lexicon.says):
+                says = np.array(self.lexicon.says)
+            closer.append(words[~live][says[state[~live]] > 0])
+            words, at, state = words[live], at[live], state[live]
+            symbol = symbols[at]
+            look = (symbol == 2) | (symbol == 0)
+            closer.append(words[look])
+            words, at, state, symbol = words[~look], at[~look], state[~look], symbol[~look]
+            if not len(words):
+                break
+            after = self._table()[state, symbol]
+            if (after < 0).any():
+                for pair in np.unique(state[after < 0].astype(np.int64) * 4096 + symbol[after < 0]).tolist():
+                    s, c = divmod(pair, 4096)
+                    moved = self.lexicon._number(self.lexicon._step(self.lexicon.states[s], self.letters[c - 3] if c > 2 else ""))
+                    self._table()[s, c] = moved
+                after = self._table()[state, symbol]
+            if len(says) < len(self.lexicon.says):
+                says = np.array(self.lexicon.says)
+            stem = says[after] == 2
+            closer.append(words[stem])
+            live = (after != 0) & ~stem
+            words, at, state = words[live], at[live] + 1, after[live]
+        return np.unique(np.concatenate(closer)), starts, ends
 
     def evidence(self, texts: Texts) -> np.ndarray:
         """For each text the sums of evidence: exact words, stems, misspelled words."""
         out = np.zeros((len(texts), KINDS))
         if not self.lexicon.terms or not len(texts.starts):
             return out
-        hashes, where, back = np.unique(segment_hashes(texts.data, texts.starts, texts.ends), return_index=True, return_inverse=True)
+        if len(self.lexicon.states) > STATES_MOST:
+            self.lexicon._reset()
+            self.table = np.zeros((0, 0), np.int32)
         if len(self.known) > _CACHE:
             self.known.clear()
-        kinds = np.zeros(len(hashes), np.int8)
         word = lambda i: texts.data[texts.starts[i] : texts.ends[i]].tobytes().decode(errors="replace")
-        for k, h in enumerate(hashes.tolist()):
-            kind = self.known.get(h)
+        suspects, _, _ = self._suspects(texts)
+        owners = np.searchsorted(texts.first, suspects, "right") - 1
+        for i, owner in zip(suspects.tolist(), owners.tolist(), strict=True):
+            raw = word(i)
+            kind = self.known.get(raw)
             if kind is None:
-                kind = self.known[h] = self.lexicon.kind(word(where[k]))
-            kinds[k] = kind
-        hits = np.flatnonzero(kinds[back])
-        owners = np.searchsorted(texts.first, hits, "right") - 1
-        for i, owner in zip(hits.tolist(), owners.tolist(), strict=True):
-            low, high = max(texts.first[owner], i - WINDOW), min(texts.first[owner + 1], i + WINDOW + 1)
-            out[owner, kinds[back[i]] - 1] += _context([word(j) for j in range(low, high)], i - low)
+                kind = self.known[raw] = self.lexicon.kind(raw)
+            if kind:
+                low, high = max(texts.first[owner], i - WINDOW), min(texts.first[owner + 1], i + WINDOW + 1)
+                out[owner, kind - 1] += _context([word(j) for j in range(low, high)], i - low)
         return out
 
 
