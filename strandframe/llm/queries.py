@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.llm import bpe, html_extract, jaccard, mixing, quality, toxicity, url_filters
+from strandframe.llm import bpe, chat, html_extract, jaccard, license_scan, mixing, quality, topk, toxicity, url_filters
 from strandframe.llm.common import table
 
 #: A text with this score or a higher one is taken as toxic.
@@ -36,6 +36,15 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantised(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors.filter(F.col("vec_id") % 50 == 0), vectors)
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = toxicity.score_toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")), keep=["doc_id"])
@@ -46,6 +55,13 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], rows.schema)
+    return chat.formatted_digests(rows.unionByName(more), *tokenizer())
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_rules(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -55,9 +71,9 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_html_extraction, op2_bpe, op3_mixing, op6_toxicity, op7_ngram_jaccard, op9_quality_rules, op10_url_filters]
+    found = [op1_html_extraction, op2_bpe, op3_mixing, op4_license_scan, op5_top_k, op6_toxicity, op7_ngram_jaccard, op8_chat_format, op9_quality_rules, op10_url_filters]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.ORACLE}
+    return {"op3_mixing": mixing.ORACLE, "op4_license_scan": license_scan.oracle(), "op5_top_k": topk.ORACLE, "op8_chat_format": chat.ORACLE}
