@@ -1,0 +1 @@
+"""Base modifications of aligned reads as Spark DataFrames."""
