@@ -42,8 +42,8 @@ WORDS = 5
 SMALL = 63
 #: Index entries in one group of the join, about; entries that a task holds before it passes them on.
 GROUP, FLUSH = 1_500_000, 2_000_000
-#: Sets of one list in a block.
-BLOCK = 1024
+#: Sets of one list in a block; rounds that join nearest groups before all pairs between groups are looked at.
+BLOCK, ROUNDS = 1024, 3
 EXACT, DELETED = 0, 1
 _U = np.uint64
 
@@ -72,8 +72,8 @@ def fingerprints(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parities of the numbers of shingles in 2^k places, of 2 to 4 places a shingle."""
-    places = 1 << max(6, math.ceil(math.log2(2 * max(1, len(hashes)))))
+    """Parities of the numbers of shingles in 2^k places, of 4 to 8 places a shingle."""
+    places = 1 << max(6, math.ceil(math.log2(4 * max(1, len(hashes)))))
     return np.packbits((np.bincount((hashes & _U(places - 1)).astype(np.int64), minlength=places) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -284,8 +284,8 @@ def components(edges: DataFrame) -> DataFrame:
     return labels
 
 
-def _crossing(runs: DataFrame) -> DataFrame:
-    """Of lists (run, want, asks, fp, n, component, sketch) the pairs of one that asks with one that is listed, in blocks, that are in different groups and that sizes and sketches don't rule out."""
+def _crossing(runs: DataFrame, nearest: bool) -> DataFrame:
+    """Of lists (run, want, asks, fp, n, component, sketch) the pairs of one that asks with one that is listed, in blocks, that are in different groups and that sizes and sketches don't rule out; with ``nearest`` for each group in a block only the pair of the nearest sketches."""
     cell = F.struct("fp", "n", "component", "sketch")
     block = F.pmod(F.hash("fp"), F.ceil(F.col("size") / BLOCK).cast("int"))
     asks = runs.filter("asks").withColumn("block", block).groupBy("run", "want", "block").agg(F.collect_list(cell).alias("x")).drop("block")
@@ -300,21 +300,40 @@ def _crossing(runs: DataFrame) -> DataFrame:
                 x, y = arrays(batch.column(0)[i].values), arrays(batch.column(1)[i].values)
                 size = min(min(map(len, x[3])), min(map(len, y[3])))
                 s, t = folded(x[3], size).view(_U), folded(y[3], size).view(_U)
-                a, b = [], []
+                found: list[tuple[int, int]] = []
+                close: dict[int, tuple[int, int, int]] = {}  # of each group: distance, a, b
                 for k in range(len(s)):
                     ok = np.flatnonzero((y[2] != x[2][k]) & (4 * y[1] >= 3 * x[1][k]) & (4 * x[1][k] >= 3 * y[1]))
-                    if len(ok):
-                        ok = ok[np.bitwise_count(t[ok] ^ s[k]).sum(axis=1, dtype=np.int64) <= (x[1][k] + y[1][ok]) // 7]
-                        a.append(np.full(len(ok), x[0][k]))
-                        b.append(y[0][ok])
-                if a:
-                    a, b = np.concatenate(a), np.concatenate(b)
-                    pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], names=["a", "b"])
+                    if not len(ok):
+                        continue
+                    apart = np.bitwise_count(t[ok] ^ s[k]).sum(axis=1, dtype=np.int64)
+                    near = apart <= (x[1][k] + y[1][ok]) // 7
+                    ok, apart = ok[near], apart[near]
+                    if not nearest:
+                        found += [(int(x[0][k]), int(b)) for b in y[0][ok]]
+                    elif len(ok):
+                        order = np.lexsort((y[0][ok], apart))
+                        for place in order[np.unique(y[2][ok][order], return_index=True)[1]].tolist():
+                            pair = (int(apart[place]), int(x[0][k]), int(y[0][ok[place]]))
+                            for group in (int(x[2][k]), int(y[2][ok[place]])):
+                                close[group] = min(close.get(group, pair), pair)
+                found += [(a, b) for _, a, b in close.values()]
+                if found:
+                    pairs = sorted({(min(p), max(p)) for p in found})
+                    yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     return asks.join(listed, ["run", "want"]).select("x", "y").mapInArrow(run, "a long, b long").distinct()
 
 
+def _open_runs(both: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """The lists that hold sets of several groups, each content once, with the groups and sketches of their sets."""
+    labelled = sets.select("fp", "rep", "sketch").join(groups, sets.rep == groups.v, "left").select("fp", F.coalesce("component", "rep").alias("component"), "sketch")
+    grouped = both.join(labelled.drop("sketch"), "fp")
+    runs = grouped.groupBy("run", "want").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("fp", "asks").cast("decimal(38,0)")).alias("content"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    runs = runs.groupBy("content", "size").agg(F.min(F.struct("run", "want")).alias("key")).select("key.run", "key.want", "size")
+    return grouped.join(runs, ["run", "want"]).join(sets.select("fp", "sketch"), "fp")
+
+
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles and component_id, the smallest id that links reach."""
     spark = docs.sparkSession
@@ -340,16 +359,22 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     similar = F.expr("4 * na >= 3 * nb and 4 * nb >= 3 * na")
     links = written(_verified(_sketched(seen.filter(similar), sets), hashed), "links")
     groups = components(links)
-    # Lists that more than two sets look into: pairs that the centre has not brought into one group.
+    # Lists that more than two sets look into: pairs that the centre has not brought into one group. First the
+    # nearest groups are joined, round by round; then all pairs that are left between groups are held against each other.
     crowded = crowd.filter("size > 2").select("run", "want")
     listed = entries.select("run", "want", F.col("b").alias("fp"), F.col("nb").alias("n")).join(crowded, ["run", "want"]).withColumn("asks", F.lit(False))
     both = listed.unionByName(asked.join(crowded, ["run", "want"]).withColumn("asks", F.lit(True)))
-    labelled = sets.select("fp", "rep", "sketch").join(groups, sets.rep == groups.v, "left").select("fp", F.coalesce("component", "rep").alias("component"), "sketch")
-    both = both.join(labelled, "fp")
-    open_runs = both.groupBy("run", "want").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("fp", "asks").cast("decimal(38,0)")).alias("content"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-    open_runs = open_runs.groupBy("content", "size").agg(F.min(F.struct("run", "want")).alias("key")).select("key.run", "key.want", "size")
-    further = _verified(_crossing(both.join(open_runs, ["run", "want"])), hashed)
-    groups = components(links.union(further))
+    both = written(both, "crowded")
+    for turn in range(ROUNDS + 1):
+        last = turn == ROUNDS
+        further = written(_verified(_crossing(_open_runs(both, sets, groups), nearest=not last), hashed), f"links{turn}")
+        if not further.isEmpty():
+            links = links.union(further)
+            groups = components(links)
+        elif not last:  # no groups that are nearest to each other are linked: on to all pairs
+            both_left = written(_verified(_crossing(_open_runs(both, sets, groups), nearest=False), hashed), "left")
+            groups = components(links.union(both_left))
+            break
     found = sets.join(groups, sets.rep == groups.v).select("fp", "component")
     found = found.union(sets.select("fp", F.col("rep").alias("component"))).groupBy("fp").agg(F.min("component").alias("component_id"))
     found = written(found, "found")
