@@ -43,7 +43,7 @@ def percent(n_mod: Column, n_called: Column) -> Column:
 
 def fixed6(x: Column) -> Column:
     """As text with six decimals, ties to even, as C's ``%f`` prints such ratios."""
-    return F.format_string("%.6f", F.bround(x.cast("decimal(20,12)"), 6))
+    return F.bround(x.cast("decimal(20,12)"), 6).cast("decimal(20,6)").cast("string")
 
 
 def in_context(window: Column, pattern: Column) -> Column:

@@ -56,7 +56,7 @@ def at_reference(calls: DataFrame, reference: DataFrame, options: QueryOptions,
     if all(c.context == "*" for c in codes):
         return calls
     pad = max(len(c.context) for c in codes)
-    pieces = chunks(reference, pad)
+    pieces = chunks(reference, pad, CHUNK)
     if bases is None:
         bases = reference.agg(F.sum(F.length("seq"))).first()[0] or 0
     if bases <= BROADCAST_MOST:
