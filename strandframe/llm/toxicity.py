@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from strandframe.llm.textvec import Texts, chunks
 
 #: Bounds of the fit: labelled rows, word beginnings examined, terms kept.
-LABELS_MOST, BEGINNINGS_MOST, TERMS_MOST = 20_000, 5_000, 500
+LABELS_MOST, BEGINNINGS_MOST, TERMS_MOST = 20_000, 5_000, 200
 SHORTEST = 3
 #: How many times as frequent in toxic rows a term is at least: one that explains further rows, and another one.
 LIFT, LIFT_AGAIN = 4, 10
@@ -308,17 +309,26 @@ def _cover(beginnings: list[tuple[str, float, float]], rows: list[list[str]]) ->
                 if w[:n] in lift:
                     holds[w[:n]].add(i)
                     words[w[:n]][w] += 1
+    # Copies of one text share its rare words by chance: rows of such a family count once.
+    counts = Counter(w for row in rows for w in row)
+    rare = lambda row: [w for w in row if counts[w] <= max(50, len(rows) // 50)]
+    family = [min((zlib.crc32(w.encode()) for w in rare(row)), default=-i) for i, row in enumerate(rows)]
+    families = len(set(family))
     terms: dict[str, bool] = {}
     left = set(range(len(rows)))
-    while holds and len(terms) < TERMS_MOST:
-        best = max(holds, key=lambda b: (len(holds[b]) * math.log(lift[b]), len(b), b))
-        gained = holds.pop(best)
-        if len(gained) < 3 or 10 * len(gained & left) < 3 * len(gained) and lift[best] < LIFT_AGAIN or not gained & left and len(gained) < 8:
+    for best in sorted(holds, key=lambda b: (len(holds[b]) * math.log(lift[b]), len(b), b), reverse=True):
+        gained = holds[best]
+        known = len({family[i] for i in gained})
+        explains = 10 * len(gained & left) >= 3 * len(gained)
+        if len(terms) == TERMS_MOST or known < (max(3, families // 200) if explains else max(8, families // 20)) or not explains and lift[best] < LIFT_AGAIN:
             continue
         terms[best] = words[best][best] < 0.9 * sum(words[best].values())
         left -= gained
-        for b in [b for b in holds if b.startswith(best) or best.startswith(b)]:
-            holds[b] -= gained
+        for n in range(SHORTEST, len(best)):  # what is left of its own beginnings is chance
+            holds[best[:n]] = set()
+        for b in holds:
+            if b.startswith(best) and b != best:
+                holds[b] = holds[b] - gained
     return terms
 
 
