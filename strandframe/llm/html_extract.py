@@ -163,8 +163,10 @@ def classify(found: list[Block]) -> None:
             inside = [x for x in near if not x[0]]
             if b.kind == 1:  # only the article's own blocks speak; alone, it is the article
                 b.label = inside[0][2] if inside else 1
+            elif not near:  # a page without decided blocks: its longer ones are its text
+                b.label = 1 if len(b.text) >= LENGTH_LOW else -1
             else:
-                b.label = 1 if near and (all(x[2] == 1 for x in near) or bool(inside) and inside[0][2] == 1) else -1
+                b.label = 1 if (all(x[2] == 1 for x in near) or bool(inside) and inside[0][2] == 1) else -1
 
 
 def main_text(page: str | None) -> str:
