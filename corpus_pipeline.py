@@ -39,8 +39,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_sources(docs, keep=COLUMNS)
-    return mixed.select(*COLUMNS, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select(*COLUMNS)
+    # Only numbers go through the sampling; texts meet their copies once. The numbers of rows are those of the files that docs reads.
+    rows = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    mixed = mixing.mix_sources(rows, keep=["row"]).filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
+    return rows.join(mixed, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
