@@ -14,10 +14,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, jaccard, mixing, quality, toxicity
-from strandframe.llm.common import checkpoint_folder, table
+from strandframe.llm.common import checkpoint_folder, checkpointed, table
 from strandframe.llm.queries import TOXIC, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Ids that are broadcast, at most (8 MB of numbers).
+IDS_SENT = 1_000_000
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,13 +31,25 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.quality_rules(docs, keep=COLUMNS).filter("kept").select(*COLUMNS)
 
 
+def _sent(ids: DataFrame) -> DataFrame:
+    """The ids, sent to all executors if they are few; else the join is left to shuffle."""
+    ids = checkpointed(ids)
+    return F.broadcast(ids) if ids.count() <= IDS_SENT else ids
+
+
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    docs = docs.select(*COLUMNS)
     groups = jaccard.near_duplicate_groups(docs.select("doc_id", "text"))
-    kept = groups.filter("component_id = doc_id").select("doc_id").distinct()
-    # A row that repeats the id of one that stays, if any, is of the same id: the first by its text stays.
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last()))
-    rows = docs.filter("doc_id is not null").join(kept, "doc_id", "left_semi").withColumn("place", first).filter("place = 1")
-    return rows.select(*COLUMNS).unionByName(docs.filter("doc_id is null").select(*COLUMNS))
+    dropped = _sent(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    # Rows that repeat an id that stays are of its group: the first by its text stays.
+    again = checkpointed(docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    again = _sent(again)
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
+    several = kept.join(again, "doc_id", "left_semi").withColumn("place", first).filter("place = 1").drop("place")
+    return kept.join(again, "doc_id", "left_anti").unionByName(several)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
