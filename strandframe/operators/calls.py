@@ -109,33 +109,33 @@ def decode(record: dict, options: QueryOptions) -> list[tuple]:
 
 def decode_calls(reads: DataFrame, options: QueryOptions) -> DataFrame:
     """All calls of requested codes at placed bases, not yet held against the reference. Columns as in SCHEMA."""
-    bases = np.array([chr(i) for i in range(128)])
+    letters = pa.array([chr(i) for i in range(128)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, parts: list[tuple], rows: list[int], haplotypes: list[int], strands: list[str]) -> pa.RecordBatch:
+            """What is the same for a part of calls is repeated once, at the end."""
+            sizes = [len(p[0]) for p in parts]
+            row = np.repeat(rows, sizes)
+            same = lambda k, kind=None: pa.array([p[k] for p in parts], kind).take(pa.array(np.repeat(np.arange(len(parts)), sizes)))
+            each = lambda k, kind=np.int32: pa.array(np.concatenate([p[k] for p in parts]).astype(kind))
+            of = lambda name: batch.column(name).take(pa.array(row))
+            by_row = lambda values, kind: pa.array(values, kind).take(pa.array(row))
+            columns = [of("record_idx"), of("qname"), of("contig"), each(0), by_row(strands, pa.string()), each(1), same(2, pa.string()), each(3), each(4), by_row(haplotypes, pa.int32()), same(5, pa.bool_()), letters.take(each(6)), same(7, pa.bool_()), same(8, pa.string()), same(9, pa.int32()), each(10)]
+            return pa.RecordBatch.from_arrays(columns, schema=ARROW)
+
         for batch in batches:
-            made: list[list] = [[] for _ in ARROW.names]
-
-            def flush(made: list[list]) -> pa.RecordBatch:
-                columns = [pa.array(np.concatenate(x) if x else [], type=f.type) for x, f in zip(made, ARROW, strict=True)]
-                for x in made:
-                    x.clear()
-                return pa.RecordBatch.from_arrays(columns, schema=ARROW)
-
-            held = 0
-            for record in batch.to_pylist():
-                strand = "-" if record["flag"] & 16 else "+"
-                haplotype = (record["hp"] or 0) & 255
-                for ref_pos, read_pos, key, values, offset, skipped, letter, any_base, wanted, g, place in decode(record, options):
-                    n = len(ref_pos)
-                    same = lambda x, n=n: np.full(n, x, dtype=object) if isinstance(x, str) or x is None else np.full(n, x)
-                    row = (same(record["record_idx"]), same(record["qname"]), same(record["contig"]), ref_pos, same(strand), read_pos, same(key), values, offset, same(haplotype), same(skipped), bases[letter].astype(object), same(any_base), same(wanted), same(g), place)
-                    for column, x in zip(made, row, strict=True):
-                        column.append(x)
-                    held += n
+            parts, rows, haplotypes, strands, held = [], [], [], [], 0
+            for i, record in enumerate(batch.to_pylist()):
+                strands.append("-" if record["flag"] & 16 else "+")
+                haplotypes.append((record["hp"] or 0) & 255)
+                found = decode(record, options)
+                parts += found
+                rows += [i] * len(found)
+                held += sum(len(p[0]) for p in found)
                 if held > 100_000:
-                    yield flush(made)
-                    held = 0
-            if held:
-                yield flush(made)
+                    yield made(batch, parts, rows, haplotypes, strands)
+                    parts, rows, held = [], [], 0
+            if parts:
+                yield made(batch, parts, rows, haplotypes, strands)
 
     return reads.select(*COLUMNS).mapInArrow(run, SCHEMA)
