@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandframe.llm.textvec import release
+
 #: White_Space of Unicode, as the library's expressions understand \s.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: A text longer than this many characters is cut at safe places about so far apart.
@@ -95,6 +97,7 @@ def bpe_encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids:
                     out.append(pa.array([enc.decode_bytes(x) for x in found], pa.binary()))
                 yield pa.RecordBatch.from_arrays(out, names=[f.name for f in fields])
                 at = to
+            release()
 
     return source.mapInArrow(run, T.StructType(fields))
 

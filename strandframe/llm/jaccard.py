@@ -41,7 +41,7 @@ WORDS = 5
 #: Sets of up to so many shingles are also indexed by one-deletion neighbourhoods.
 SMALL = 63
 #: Index entries in one group of the join, about; entries that a task holds before it passes them on.
-GROUP, FLUSH = 1_500_000, 2_000_000
+GROUP, FLUSH = 1_500_000, 1_000_000
 #: Sets of one list in a block; rounds that join nearest groups before all pairs between groups are looked at.
 BLOCK, ROUNDS = 1024, 3
 EXACT, DELETED = 0, 1
@@ -178,7 +178,7 @@ def postings(docs: DataFrame, text: str, groups: int) -> DataFrame:
                 *entries, (units,) = index_entries(hashes, at)
                 sets = np.stack((fingerprints(hashes, at), np.diff(at).astype(_U), units.astype(_U)), axis=1)
                 for signature, of, own, kind, seg in entries:
-                    held.append((signature, of + n_sets, own, kind, seg))
+                    held.append((signature, (of + n_sets).astype(np.int32), own, kind.astype(np.int8), seg.astype(np.int32)))
                     n_held += len(signature)
                 about.append(sets)
                 n_sets += len(sets)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,6 +21,13 @@ _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
 
 
+def release() -> None:
+    """Gives unused memory back, as workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads all bits."""
     x = x ^ (x >> np.uint64(30))
@@ -100,6 +109,7 @@ def chunks(column: pa.Array | pa.ChunkedArray, most: int = 2 << 20, lower: bool
         part = data[offsets[row] : offsets[to]]
         yield row, to, split_words(_LOWER[part] if lower else part, offsets[row : to + 1] - offsets[row])
         row = to
+    release()
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
