@@ -354,25 +354,34 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     swapped = F.col("a") > F.col("b")
     seen = seen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swapped, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swapped, F.col("na")).otherwise(F.col("nb")).alias("nb"))
     seen = written(seen.distinct(), "seen")
-    needed = seen.select(F.col("a").alias("fp")).union(seen.select("b")).distinct().join(sets.select("fp", "rep"), "fp")
-    hashed = written(_hashes(docs, doc_id, text, needed), "hashes")
-    similar = F.expr("4 * na >= 3 * nb and 4 * nb >= 3 * na")
-    links = written(_verified(_sketched(seen.filter(similar), sets), hashed), "links")
-    groups = components(links)
     # Lists that more than two sets look into: pairs that the centre has not brought into one group. First the
     # nearest groups are joined, round by round; then all pairs that are left between groups are held against each other.
     crowded = crowd.filter("size > 2").select("run", "want")
     listed = entries.select("run", "want", F.col("b").alias("fp"), F.col("nb").alias("n")).join(crowded, ["run", "want"]).withColumn("asks", F.lit(False))
     both = listed.unionByName(asked.join(crowded, ["run", "want"]).withColumn("asks", F.lit(True)))
     both = written(both, "crowded")
+    # A set may look into a list that it is no entry of, so those of crowded lists are needed besides the pairs seen.
+    needed = seen.select(F.col("a").alias("fp")).union(seen.select("b")).union(both.select("fp")).distinct().join(sets.select("fp", "rep"), "fp")
+    hashed = written(_hashes(docs, doc_id, text, needed), "hashes")
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        pairs = written(pairs, f"{name}_pairs")
+        lost = pairs.select(F.explode(F.array("a", "b")).alias("fp")).join(hashed.select("fp"), "fp", "left_anti")
+        if not lost.isEmpty():
+            raise RuntimeError(f"pairs of {name} are to be verified on sets without hashes")
+        return written(_verified(pairs, hashed), name)
+
+    similar = F.expr("4 * na >= 3 * nb and 4 * nb >= 3 * na")
+    links = verified(_sketched(seen.filter(similar), sets), "links")
+    groups = components(links)
     for turn in range(ROUNDS + 1):
         last = turn == ROUNDS
-        further = written(_verified(_crossing(_open_runs(both, sets, groups), nearest=not last), hashed), f"links{turn}")
+        further = verified(_crossing(_open_runs(both, sets, groups), nearest=not last), f"links{turn}")
         if not further.isEmpty():
             links = links.union(further)
             groups = components(links)
         elif not last:  # no groups that are nearest to each other are linked: on to all pairs
-            both_left = written(_verified(_crossing(_open_runs(both, sets, groups), nearest=False), hashed), "left")
+            both_left = verified(_crossing(_open_runs(both, sets, groups), nearest=False), "left")
             groups = components(links.union(both_left))
             break
     found = sets.join(groups, sets.rep == groups.v).select("fp", "component")

@@ -164,6 +164,14 @@ def test_jaccard_groups(spark):
     assert sorted(map(tuple, got)) == brute_groups(rows)
 
 
+def test_jaccard_crowded_askers(spark):
+    """Sets that look into a crowded list by a deletion, of which they are no entries: each is linked to the base only."""
+    base = "one two three four five six seven"
+    rows = [(0, base)] + [(i, f"{base} w{i}") for i in range(1, 301)]
+    got = jaccard.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(tuple, got)) == brute_groups(rows)
+
+
 def test_jaccard_odd(spark, docs):
     rows = {(r.doc_id, r.n_shingles): r.component_id for r in jaccard.near_duplicate_groups(docs).collect()}
     assert rows[(0, 0)] == 0 and rows[(7, 29996)] == 6 and rows[(None, 1)] is None
