@@ -4,7 +4,8 @@ Repetition: the suffixes of each text that begin with a repeated window of ``WIN
 prefix doubling (the others have no repeat that long). The longest-common-prefix of neighbours in that order
 gives, at each place, the longest substring (in words) that begins there and occurs elsewhere in the text:
 the spans of all maximal repeated substrings. The verdict limits the covered fraction of the words, and the
-longest repeat, of the union of these spans.
+longest repeat, of the union of these spans; and, as all repeats of ``WINDOW`` words or more cover just the words
+that the window rule counts, the fraction covered by those of at least ``LONG`` words, which it doesn't see.
 
 Defined results: null and empty texts have no words, all counts 0, and fail; ties and repeated rows are
 judged row by row; an empty table gives an empty one. Whole texts are judged, whatever their length. The
@@ -29,6 +30,8 @@ MAX_REPEAT_PERCENT = 20
 #: The method's limits: share of the words inside repeats, and words in the longest one.
 MAX_COVERED = 0.30
 MAX_LONGEST = 400
+#: Words of a long repeat, and the share of the words that may lie inside such ones.
+LONG, MAX_LONG_PERCENT = 10, 10
 #: The characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
@@ -129,6 +132,11 @@ def _duplicate_lines(texts: Texts) -> np.ndarray:
 
 def measures(texts: Texts, window: int = WINDOW) -> list[np.ndarray]:
     """The figures of COLUMNS for each text."""
+    return _measures(texts, window)[:-1]
+
+
+def _measures(texts: Texts, window: int = WINDOW) -> list[np.ndarray]:
+    """The figures of COLUMNS, and the words inside repeats of at least ``LONG`` words."""
     data, n = texts.data, len(texts.starts)
     letters = (data & 0xC0) != 0x80
     symbols = np.isin(data, np.frombuffer(SYMBOLS.encode(), np.uint8))
@@ -137,10 +145,11 @@ def measures(texts: Texts, window: int = WINDOW) -> list[np.ndarray]:
     found, lengths = repeats(words, texts.first, window)
     in_windows = _covered(n, found, np.full(len(found), window))
     covered = _covered(n, found, lengths)
+    in_long = _covered(n, found[lengths >= LONG], lengths[lengths >= LONG])
     longest = np.zeros(len(texts), np.int64)
     if len(found):
         np.maximum.at(longest, np.searchsorted(texts.first, found, "right") - 1, lengths)
-    return [np.diff(texts.first), texts.per_text(solid), texts.per_text(symbols), _duplicate_lines(texts), _count(in_windows, texts.first), _count(covered, texts.first), longest]
+    return [np.diff(texts.first), texts.per_text(solid), texts.per_text(symbols), _duplicate_lines(texts), _count(in_windows, texts.first), _count(covered, texts.first), longest, _count(in_long, texts.first)]
 
 
 def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = None, max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
@@ -148,15 +157,15 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
     made = [*COLUMNS, "base_failed", "kept"]
     kept = [c for c in (df.columns if keep is None else keep) if c not in made]
     source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("\x00text"))
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in COLUMNS])
+    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in [*COLUMNS, "\x00long"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, to, texts in chunks(batch.column(batch.num_columns - 1)):
                 out = [batch.column(i).slice(row, to - row) for i in range(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays(out + [pa.array(x.astype(np.int64)) for x in measures(texts)], names=schema.names)
+                yield pa.RecordBatch.from_arrays(out + [pa.array(x.astype(np.int64)) for x in _measures(texts)], names=schema.names)
 
     n, again = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
-    limited = (F.col("n_covered_words") <= F.lit(max_covered) * n) & (F.col("longest_repeat") <= max_longest)
-    return source.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & limited)
+    limited = (F.col("n_covered_words") <= F.lit(max_covered) * n) & (F.col("longest_repeat") <= max_longest) & (100 * F.col("\x00long") <= MAX_LONG_PERCENT * n)
+    return source.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & limited).drop("\x00long")

@@ -51,6 +51,16 @@ def test_quality(docs):
     assert by[6].kept is True and quality.quality_rules(docs.limit(0)).collect() == []
 
 
+def test_quality_method_rejects_what_the_base_rule_keeps(spark):
+    words = [f"w{i}" for i in range(200)]
+    passage = words[:15]
+    short = [w for k in range(3) for w in words[10 * k : 10 * k + 5] + [f"x{k}"]]
+    texts = [" ".join(words), " ".join(words + passage), " ".join(words + short)]
+    rows = {r.doc_id: r for r in quality.quality_rules(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [rows[i].n_repeat_words for i in range(3)] == [0, 30, 30] and not any(r.base_failed for r in rows.values())
+    assert [rows[i].kept for i in range(3)] == [True, False, True]
+
+
 def test_licenses(docs):
     rows = {(r.doc_id, r.text): r for r in license_scan.scan_licenses(docs).collect()}
     hit = next(r for k, r in rows.items() if k[0] == 5)
