@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.llm.textvec import Texts, chunks
+from strandframe.llm.textvec import Texts, chunks, mix, shingle_sets
 
 #: Bounds of the fit: labelled rows, word beginnings examined, terms kept.
 LABELS_MOST, BEGINNINGS_MOST, TERMS_MOST = 20_000, 5_000, 200
 SHORTEST = 3
+#: Smallest hashes of a text's shingles (of so many words), and how many two texts have in common at least that are copies.
+HASHES, SHINGLE, ALIKE = 32, 5, 16
 #: How many times as frequent in toxic rows a term is at least: one that explains further rows, and another one.
 LIFT, LIFT_AGAIN = 4, 10
 #: Hits in a word of a text that is wholly abusive, about.
@@ -298,8 +299,49 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _cover(beginnings: list[tuple[str, float, float]], rows: list[list[str]]) -> dict[str, bool]:
-    """Of the beginnings (with their lifts) those that explain the toxic rows, given by their words."""
+def _drawn(rows: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, hashes): of each text the smallest value of each of ``HASHES`` hashes over its shingles."""
+    salts = mix(np.arange(1, HASHES + 1, dtype=np.uint64))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, to, texts in chunks(batch.column(1), lower=True):
+                hashes, at = shingle_sets(texts, SHINGLE)
+                some = np.diff(at) > 0
+                least = np.full((len(some), HASHES), np.iinfo(np.uint64).max, np.uint64)
+                if some.any():
+                    for k in range(HASHES):
+                        least[some, k] = np.minimum.reduceat(mix(hashes ^ salts[k]), at[:-1][some])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, to - row), pa.array([x.tobytes() for x in least], pa.binary())], names=["id", "hashes"])
+
+    return rows.select(doc_id, text).mapInArrow(run, f"id {rows.schema[doc_id].dataType.simpleString()}, hashes binary")
+
+
+def _families(drawn: list[bytes]) -> list[int]:
+    """The family of each row: rows are copies of one text if they have ``ALIKE`` of their hashes in common."""
+    hashes = np.frombuffer(b"".join(drawn), np.uint64).reshape(-1, HASHES)
+    family = list(range(len(hashes)))
+
+    def find(i: int) -> int:
+        while family[i] != i:
+            family[i] = i = family[family[i]]
+        return i
+
+    for k in range(0, HASHES, 2):
+        alike: dict[bytes, list[int]] = defaultdict(list)  # of rows that share two hashes, one for each family so far
+        for i in range(len(hashes)):
+            held = alike[hashes[i, k : k + 2].tobytes()]
+            for j in held:
+                if find(i) == find(j) or (hashes[i] == hashes[j]).sum() >= ALIKE:
+                    family[find(i)] = find(j)
+                    break
+            else:
+                held.append(i)
+    return [find(i) for i in range(len(hashes))]
+
+
+def _cover(beginnings: list[tuple[str, float, float]], rows: list[list[str]], family: list[int]) -> dict[str, bool]:
+    """Of the beginnings (with their lifts) those that explain the toxic rows, given by their words and families."""
     lift = dict(beginnings)
     holds: dict[str, set[int]] = defaultdict(set)
     words: dict[str, Counter] = defaultdict(Counter)
@@ -309,18 +351,14 @@ def _cover(beginnings: list[tuple[str, float, float]], rows: list[list[str]]) ->
                 if w[:n] in lift:
                     holds[w[:n]].add(i)
                     words[w[:n]][w] += 1
-    # Copies of one text share its rare words by chance: rows of such a family count once.
-    counts = Counter(w for row in rows for w in row)
-    rare = lambda row: [w for w in row if counts[w] <= max(50, len(rows) // 50)]
-    family = [min((zlib.crc32(w.encode()) for w in rare(row)), default=-i) for i, row in enumerate(rows)]
-    families = len(set(family))
+    families = len(set(family))  # copies of one text share its rare words by chance: they count once
     terms: dict[str, bool] = {}
     left = set(range(len(rows)))
     for best in sorted(holds, key=lambda b: (len(holds[b]) * math.log(lift[b]), len(b), b), reverse=True):
         gained = holds[best]
         known = len({family[i] for i in gained})
         explains = 10 * len(gained & left) >= 3 * len(gained)
-        if len(terms) == TERMS_MOST or known < (max(3, families // 200) if explains else max(8, families // 20)) or not explains and lift[best] < LIFT_AGAIN:
+        if len(terms) == TERMS_MOST or known < (max(3, families // 200) if explains else 8) or not explains and lift[best] < LIFT_AGAIN:
             continue
         terms[best] = words[best][best] < 0.9 * sum(words[best].values())
         left -= gained
@@ -349,8 +387,10 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     if not beginnings:
         return Model({}, PRIOR.copy())
     short = docs.sparkSession.createDataFrame([(x,) for x in sorted({b[0][:SHORTEST] for b in beginnings})], "s string")
-    suspects = words.filter("`\x00y` = 1").withColumn("s", F.substring("w", 1, SHORTEST)).join(F.broadcast(short), "s").groupBy("\x00id").agg(F.collect_set("w").alias("ws")).select("ws").collect()
-    terms = _cover([tuple(b) for b in beginnings], [sorted(r[0]) for r in suspects])
+    suspects = words.filter("`\x00y` = 1").withColumn("s", F.substring("w", 1, SHORTEST)).join(F.broadcast(short), "s").groupBy("\x00id").agg(F.collect_set("w").alias("ws")).select("\x00id", "ws").collect()
+    drawn = dict(map(tuple, _drawn(rows.filter("`\x00y` = 1"), "\x00id", "\x00text").collect()))
+    held = [(sorted(ws), drawn[i]) for i, ws in suspects]
+    terms = _cover([tuple(b) for b in beginnings], [ws for ws, _ in held], _families([x for _, x in held]))
     found = [f"\x00f{k}" for k in range(2 * KINDS)]
     seen = _features(rows.select("\x00y", "\x00text"), terms, "\x00text").groupBy("\x00y", *[F.round(F.col(f) * 16).alias(f) for f in found]).count().collect()
     x = np.array([[1.0, *(v / 16 for v in r[1:-1])] for r in seen])

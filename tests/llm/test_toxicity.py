@@ -62,6 +62,29 @@ def test_learns_and_scores_odd_inputs(spark):
     assert all((v >= 0.3) == (k[0] is None) for k, v in scores.items())
 
 
+def test_families_are_copies(spark):
+    """Unlike texts that share a term are no copies; near copies count once."""
+    rng = random.Random(8)
+    common = [f"word{k}" for k in range(60)]  # all texts hold the same words, each in an order of its own
+    make = lambda: rng.sample(common, 60)
+    rows, labels = [], []
+    for i in range(600):
+        words = make()
+        if i % 5 == 0:
+            words += ["clown", "clown"]
+        if i % 25 == 0:
+            words.insert(20, "disgusting")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(i % 5 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = X.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert {"clown", "disgusting"} <= set(model.terms)
+    copies = spark.createDataFrame([(1000 + i, f"{rows[1][1]} q{i}") for i in range(9)] + [(2000, None), (2001, "x")], docs.schema)
+    drawn = dict(map(tuple, X._drawn(docs.filter("doc_id < 20").union(copies), "doc_id", "text").collect()))
+    family = dict(zip(drawn, X._families(list(drawn.values())), strict=True))
+    assert len(set(family.values())) == 22 and len({family[i] for i in (1, *range(1000, 1009))}) == 1
+
+
 def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = X.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
