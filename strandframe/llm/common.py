@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,10 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; only where none is set, as in tests, one of our own."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``. Only a local master, as in tests, may go without: its one machine gets a folder of its own."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and context.master.partition("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context._jsc.sc().getCheckpointDir().get()
 
@@ -27,6 +30,43 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+class shuffles_freed:
+    """Plans made inside give up their shuffle files when an action on them ends, instead of when the driver collects its garbage."""
+
+    KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.conf = spark.conf
+
+    def __enter__(self) -> None:
+        self.before = self.conf.get(self.KEY)
+        self.conf.set(self.KEY, "true")
+
+    def __exit__(self, *_: object) -> None:
+        self.conf.set(self.KEY, self.before)
+
+
+class Scratch:
+    """Tables in a folder of their own below the shared checkpoint folder, each dropped once it is no longer read."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark = spark
+        self.folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """``df`` as a table; lineage and shuffle files end here."""
+        with shuffles_freed(self.spark):
+            df.select("*").write.parquet(f"{self.folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Deletes these tables; without names the whole folder."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path
+        for name in names or ("",):
+            gone = path(f"{self.folder}/{name}".rstrip("/"))
+            gone.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(gone, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

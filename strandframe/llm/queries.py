@@ -52,7 +52,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicate_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

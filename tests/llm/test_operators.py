@@ -152,6 +152,11 @@ def brute_groups(rows):
     return sorted((d, len(s), least[find(i)]) for i, (d, s) in enumerate(sets))
 
 
+def grouped(spark, rows, **options):
+    got = jaccard.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string"), **options)
+    return sorted(map(tuple, got.select("doc_id", "n_shingles", "component_id").collect()))
+
+
 def near_copies(n, seed=4):
     rng, rows, base = random.Random(seed), [], []
     for i in range(n):
@@ -170,16 +175,54 @@ def near_copies(n, seed=4):
 def test_jaccard_groups(spark):
     rows = near_copies(350)
     rows += [(1000, None), (1001, ""), (3, rows[3][1]), (4, rows[7][1])]
-    got = jaccard.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == brute_groups(rows)
+    assert grouped(spark, rows) == brute_groups(rows)
+
+
+def test_jaccard_without_spare_units(spark):
+    """With so few segments that many sets have fewer units than differences, the prefix filter finds their partners."""
+    rows = near_copies(300, 9)
+    sizes = [len(set(zip(*[WORD.findall(t)[k:] for k in range(5)]))) for _, t in rows]
+    assert any(n > 63 for n in sizes)
+    assert grouped(spark, rows, spread=-20.0) == brute_groups(rows)
+
+
+def test_jaccard_hot_list(spark, monkeypatch):
+    """Thousands of near copies around the threshold, whose lists hold all of them: more than a block, and more pairs than are passed on at once."""
+    rng = random.Random(11)
+    base = [f"b{k}" for k in range(34)]
+    rows = []
+    for i in range(2600):
+        words = list(base)
+        for k in rng.sample(range(34), rng.choice([1, 1, 2])):
+            words[k] = f"x{rng.randint(0, 9)}"
+        rows.append((i, " ".join(words)))
+    assert grouped(spark, rows) == brute_groups(rows)
+
+
+def test_jaccard_keeps_groups_apart_that_share_an_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
+    got = jaccard.near_duplicate_groups(spark.createDataFrame([(1, a), (1, b), (2, a + " c"), (3, b + " c")], "doc_id long, text string")).collect()
+    assert [r.component_id for r in got] == [1] * 4 and len({r.group for r in got}) == 2
+
+
+def test_units_are_those_of_the_index():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    hashes = [np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2)) for n in (1, 0, 5, 40, 63, 64, 300)]
+    at = np.cumsum([0, *map(len, hashes)])
+    units = np.zeros(len(hashes), int)
+    for _, of, own, kind, seg in jaccard.index_entries(np.concatenate(hashes), at, 8.0):
+        for o, k, s in zip(of[own], kind[own], seg[own], strict=True):
+            units[o] += (k == jaccard.EXACT) * (1 + (s >= 0))
+    assert jaccard.unit_counts(np.concatenate(hashes), at, 8.0).tolist() == units.tolist()
 
 
 def test_jaccard_crowded_askers(spark):
     """Sets that look into a crowded list by a deletion, of which they are no entries: each is linked to the base only."""
     base = "one two three four five six seven"
     rows = [(0, base)] + [(i, f"{base} w{i}") for i in range(1, 301)]
-    got = jaccard.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert sorted(map(tuple, got)) == brute_groups(rows)
+    assert grouped(spark, rows) == brute_groups(rows)
 
 
 def test_jaccard_odd(spark, docs):
@@ -194,7 +237,7 @@ def test_index_has_more_units_than_differences():
     rng = np.random.default_rng(1)
     for n in [*range(1, 70), 100, 127, 128, 500, 3000]:
         hashes = np.sort(rng.integers(0, 1 << 63, n).astype(np.uint64) * np.uint64(2))
-        *_, (units,) = jaccard.index_entries(hashes, np.array([0, n]))
+        units = jaccard.unit_counts(hashes, np.array([0, n]), 8.0)
         assert units[0] > 2 * n // 7
 
 
