@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
@@ -53,10 +54,11 @@ class Scratch:
         self.spark = spark
         self.folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        """``df`` as a table; lineage and shuffle files end here."""
+    def write(self, df: DataFrame, name: str, files: float | None = None) -> DataFrame:
+        """``df`` as a table, of so many files at most (few rows in many files cost more than they hold); lineage and shuffle files end here."""
         with shuffles_freed(self.spark):
-            df.select("*").write.parquet(f"{self.folder}/{name}")
+            df = df.select("*") if files is None else df.coalesce(math.ceil(files) or 1)
+            df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
 
     def drop(self, *names: str) -> None:

@@ -51,7 +51,9 @@ SMALL = 63
 #: Index entries in one group of the join, about; entries that a task holds before it passes them on.
 GROUP, FLUSH = 750_000, 1_000_000
 #: Sets of one list in a block; pairs passed on for each set of two blocks before only nearest groups are joined; rounds of that.
-BLOCK, PAIRS, ROUNDS = 1024, 4, 4
+BLOCK, PAIRS, ROUNDS = 1024, 1, 4
+#: Rows in a file: of numbers, with sketches, with hashes.
+THIN, WIDE, FAT = 200_000, 20_000, 5_000
 #: Ids that are broadcast, at most (16 MB of numbers); more go through a join that shuffles.
 IDS_SENT = 1_000_000
 #: Kinds of entries; what marks a signature that a task has passed on; entries of such in one piece.
@@ -344,30 +346,33 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def components(scratch: Scratch, edges: DataFrame, name: str) -> DataFrame:
-    """(v, component): the smallest vertex that each vertex of the edges (a, b) can reach. Each round maps vertices to their smallest neighbour."""
-    edges = scratch.write(edges.filter("a <> b").distinct(), f"{name}_edges")
-    labels = scratch.write(edges.select(F.col("a").alias("v")).union(edges.select("b")).distinct().withColumn("component", F.col("v")), f"{name}_labels")
-    old, turn = [f"{name}_edges", f"{name}_labels"], 0
+    """(v, component): the smallest vertex that each vertex of the written edges (a, b) can reach. Each round maps vertices to their smallest neighbour, and edges with them."""
+    files = 2 * edges.count() / THIN
+    edges = edges.filter("a <> b")
+    steps = []
     while not edges.isEmpty():
-        turn += 1
-        new = [f"{name}_{part}{turn}" for part in ("edges", "labels", "least")]
         both = edges.union(edges.select("b", "a"))
-        least = scratch.write(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m")), new[2])
-        labels = scratch.write(labels.join(least.withColumnRenamed("v", "component"), "component", "left").select("v", F.coalesce("m", "component").alias("component")), new[1])
+        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("v"), F.least("a", "m").alias("m"))
+        steps.append(least := scratch.write(least, f"{name}_least{len(steps)}", files))
         edges = edges.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        edges = scratch.write(edges.filter("a <> b").distinct(), new[0])
-        scratch.drop(*old)
-        old = new
-    return labels
+        edges = scratch.write(edges.filter("a <> b").distinct(), f"{name}_edges{len(steps)}", files)
+    if not steps:
+        return edges.toDF("v", "component")
+    # Few steps are needed, as they join whole neighbourhoods; the label of a vertex goes through all of them.
+    labels = steps[0].withColumnRenamed("m", "component")
+    for least in steps[1:]:
+        labels = labels.join(least.toDF("component", "m"), "component", "left").select("v", F.coalesce("m", "component").alias("component"))
+    return scratch.write(labels, f"{name}_labels", files)
 
 
 def _merged(scratch: Scratch, groups: DataFrame, links: DataFrame, name: str) -> DataFrame:
     """The groups (v, component) with further links between sets: only groups are joined, not all sets again."""
     label = lambda side, to: groups.select(F.col("v").alias(side), F.col("component").alias(to))
     between = links.join(label("a", "x"), "a", "left").join(label("b", "y"), "b", "left").select(F.coalesce("x", "a").alias("x"), F.coalesce("y", "b").alias("y"))
-    joined = components(scratch, between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), name).toDF("component", "joined")
+    between = scratch.write(between.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")), f"{name}_between", links.count() / THIN)
+    joined = components(scratch, between, name).toDF("component", "joined")
     both = groups.union(joined.select(F.col("component").alias("v"), "component").join(groups.select("v"), "v", "left_anti"))
-    return scratch.write(both.join(joined, "component", "left").select("v", F.coalesce("joined", "component").alias("component")), f"{name}_merged")
+    return scratch.write(both.join(joined, "component", "left").select("v", F.coalesce("joined", "component").alias("component")), f"{name}_merged", groups.count() / THIN)
 
 
 def _open_lists(both: DataFrame, groups: DataFrame) -> DataFrame:
@@ -439,26 +444,30 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     scratch = Scratch(docs.sparkSession)
     write = scratch.write
     all_docs = write(profiles(docs, doc_id, text, spread), "profiles")
-    sets = write(all_docs.filter("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("units").alias("units"), F.first("sketch").alias("sketch")), "sets")
-    total = all_docs.agg(F.sum("n")).first()[0] or 0
-    copies = postings(docs, text, max(2 * partitions(docs), math.ceil(0.7 * total / GROUP)), spread).groupBy("run", "fp")
+    known = all_docs.filter("n > 0 and doc_id is not null")
+    rows, total = all_docs.agg(F.count(F.lit(1)), F.sum("n")).first()
+    sets = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("units").alias("units"), F.first("sketch").alias("sketch"))
+    sets = write(sets, "sets", rows / WIDE)
+    copies = postings(docs, text, max(2 * partitions(docs), math.ceil(0.7 * (total or 0) / GROUP)), spread).groupBy("run", "fp")
     entries = write(copies.agg(*[F.first(c).alias(c) for c in ("kind", "own", "seg", "n", "units")]), "entries")
-    lists = write(counted(entries), "lists")
+    files = entries.count() / THIN
+    lists = write(counted(entries), "lists", files)
     scratch.drop("entries")
-    asked = write(probes(lists), "asked")
+    asked = write(probes(lists), "asked", files)
     crowd = asked.groupBy("run", "want").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("centre"))
     listed = lists.select("run", F.col("kind").alias("want"), F.col("fp").alias("b"), F.col("n").alias("nb"))
     seen = asked.join(crowd, ["run", "want"]).filter("size <= 2 or fp = centre").select("run", "want", F.col("fp").alias("a"), F.col("n").alias("na")).join(listed, ["run", "want"]).filter("a <> b")
-    seen = write(_in_order(seen), "seen")
+    seen = write(_in_order(seen), "seen", files)
     # Lists that more than two sets look into: pairs that the centre has not brought into one group.
     crowded = crowd.filter("size > 2").select("run", "want")
     both = listed.select("run", "want", F.col("b").alias("fp"), F.col("nb").alias("n")).join(crowded, ["run", "want"]).withColumn("asks", F.lit(False))
-    both = write(both.unionByName(asked.join(crowded, ["run", "want"]).withColumn("asks", F.lit(True))), "crowded")
+    both = write(both.unionByName(asked.join(crowded, ["run", "want"]).withColumn("asks", F.lit(True))), "crowded", files)
     scratch.drop("lists", "asked")
     # A set may look into a list that it is no entry of, so those of crowded lists are needed besides the pairs seen.
     bare = sets.filter("units <= floor(2 * n / 7)").select("fp", "n", "rep")
     needed = seen.select(F.col("a").alias("fp")).union(seen.select("b")).union(both.select("fp")).union(bare.select("fp")).distinct().join(sets.select("fp", "rep"), "fp")
-    hashed = write(_hashes(docs, doc_id, text, write(needed, "needed")), "hashes")
+    needed = write(needed, "needed", rows / THIN)
+    hashed = write(_hashes(docs, doc_id, text, needed), "hashes", needed.count() / FAT)
     if not bare.isEmpty():
         more = write(_in_order(_by_prefix(docs, text, bare.join(hashed, "fp"))), "by_prefix")
         others = more.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(hashed.select("fp"), "fp", "left_anti").join(sets.select("fp", "rep"), "fp")
@@ -466,33 +475,35 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         seen = seen.union(more).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        pairs = write(_sketched(pairs.filter("4 * na >= 3 * nb and 4 * nb >= 3 * na"), sets), f"{name}_pairs")
+        files = pairs.count() / FAT
+        pairs = write(_sketched(pairs.filter("4 * na >= 3 * nb and 4 * nb >= 3 * na"), sets), f"{name}_pairs", files)
         lost = pairs.select(F.explode(F.array("a", "b")).alias("fp")).join(hashed.select("fp"), "fp", "left_anti")
         if not lost.isEmpty():
             raise RuntimeError(f"pairs of {name} are to be verified on sets without hashes")
-        return write(_verified(pairs, hashed), name)
+        return write(_verified(pairs, hashed), name, files)
 
-    links = verified(seen, "links")
-    groups = components(scratch, links, "groups")
+    groups = components(scratch, verified(seen, "links"), "groups")
     scratch.drop("seen")
     for turn in range(ROUNDS + 1):
-        rows = write(_open_lists(both, groups), f"open{turn}")
-        scratch.drop(*(["crowded"] if not turn else [f"open{turn - 1}"]))
-        cross = write(_crossing(rows, sets, all_pairs=turn == ROUNDS), f"cross{turn}")
-        further = verified(_in_order(cross), f"links{turn}")
+        open_ = write(_open_lists(both, groups), f"open{turn}", files)
+        scratch.drop(f"open{turn - 1}" if turn else "crowded")
+        files = open_.count() / THIN
+        cross = write(_crossing(open_, sets, all_pairs=turn == ROUNDS), f"cross{turn}", 10 * files)
+        further = verified(write(_in_order(cross), f"further{turn}", files), f"links{turn}")
         if not further.isEmpty():
             groups = _merged(scratch, groups, further, f"groups{turn}")
         # Lists of which pairs were left out are looked at again.
         again = cross.filter("more").select("run", "want").distinct()
         if again.isEmpty():
             break
-        both = rows.select("run", "want", "asks", "fp", "n").join(again, ["run", "want"])
+        both = open_.select("run", "want", "asks", "fp", "n").join(again, ["run", "want"])
     found = sets.join(groups.withColumnRenamed("v", "fp"), "fp", "left").select("fp", "rep", F.coalesce("component", "fp").alias("group"))
     least = found.groupBy("group").agg(F.min("rep").alias("component_id"))
-    found = write(found.select("fp", "group").join(least, "group"), "found")
+    found = write(found.select("fp", "group").join(least, "group"), "found", rows / THIN)
     linked = F.col("n").isNotNull() & (F.col("n") > 0) & F.col("doc_id").isNotNull()
     out = all_docs.select("doc_id", "n", "fp").join(found, "fp", "left")
-    out = checkpointed(out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp", F.when(linked, F.col("group")).alias("group")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(linked, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "fp", F.when(linked, F.col("group")).alias("group"))
+    out = checkpointed(out.coalesce(math.ceil(rows / THIN) or 1))
     scratch.drop()
     return out
 
