@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,20 +33,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-class shuffles_freed:
-    """Plans made inside give up their shuffle files when an action on them ends, instead of when the driver collects its garbage."""
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Holds for the plans that are made inside."""
+    before = spark.conf.get(key)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
-    KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.conf = spark.conf
-
-    def __enter__(self) -> None:
-        self.before = self.conf.get(self.KEY)
-        self.conf.set(self.KEY, "true")
-
-    def __exit__(self, *_: object) -> None:
-        self.conf.set(self.KEY, self.before)
+#: Plans give up their shuffle files when an action on them ends, instead of when the driver collects its garbage.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows in a batch that goes to a Python worker; rows that hold lists need fewer.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 class Scratch:
@@ -56,7 +59,7 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str, files: float | None = None) -> DataFrame:
         """``df`` as a table, of so many files at most (few rows in many files cost more than they hold); lineage and shuffle files end here."""
-        with shuffles_freed(self.spark):
+        with setting(self.spark, FREED, "true"):
             df = df.select("*") if files is None else df.coalesce(math.ceil(files) or 1)
             df.write.parquet(f"{self.folder}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")

@@ -17,7 +17,8 @@ first shingles instead (prefix filter), so that nothing rests on how shingles ha
 Lists that are probed by many sets are not turned into all pairs: their probing sets are first linked to one
 centre; then only pairs of sets that are still in different groups are held against each other, in blocks,
 by sketches whose distance never exceeds that of the sets; what remains is verified exactly on the sets. The blocks of
-a list hold either sets of its largest group or others, and two blocks of the largest group never meet.
+a list hold either sets of its largest group or others, and two blocks of the largest group never meet. Near copies
+meet in many lists; a pair is passed on by the first of them only, as far as a few random orders of each set's lists tell.
 
 No list is gathered by one task. Tasks that index texts keep each set once, and pass entries of signatures that
 they have met twice straight on, spread evenly; only the others, at most one for each signature and pass, are grouped
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import Scratch, checkpointed, partitions
+from strandframe.llm.common import BATCH, Scratch, checkpointed, partitions, setting
 from strandframe.llm.textvec import chunks, mix, shingle_sets
 
 WORDS = 5
@@ -51,9 +52,11 @@ SMALL = 63
 #: Index entries in one group of the join, about; entries that a task holds before it passes them on.
 GROUP, FLUSH = 750_000, 1_000_000
 #: Sets of one list in a block; pairs passed on for each set of two blocks before only nearest groups are joined; rounds of that.
-BLOCK, PAIRS, ROUNDS = 1024, 1, 4
+BLOCK, PAIRS, ROUNDS = 1024, 8, 4
+#: Orders of lists, by whose first common list a pair is passed on.
+ORDERS = 6
 #: Rows in a file: of numbers, with sketches, with hashes.
-THIN, WIDE, FAT = 200_000, 20_000, 5_000
+THIN, WIDE, FAT = 50_000, 20_000, 1_000
 #: Ids that are broadcast, at most (16 MB of numbers); more go through a join that shuffles.
 IDS_SENT = 1_000_000
 #: Kinds of entries; what marks a signature that a task has passed on; entries of such in one piece.
@@ -406,21 +409,30 @@ def _near(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> tuple[np.ndar
 
 def _crossing(rows: DataFrame, sets: DataFrame, all_pairs: bool) -> DataFrame:
     """Of open lists the pairs (a, b, na, nb, run, want, more) of a set that asks with one that is listed, of different groups, that sizes and sketches don't rule out. Where two blocks have many, unless ``all_pairs``, for each group only the pair of the nearest sketches, and ``more`` is true."""
-    rows = rows.join(sets.select("fp", "sketch"), "fp")
-    cell, key = F.struct("fp", "n", "component", "sketch"), ["run", "want", "others", "rest", "block"]
+    ranks = [F.xxhash64("run", "want", F.lit(k)) for k in range(ORDERS)]
+    # The first list of each set in each order, among those it looks into and among those it is listed in. If that of an asking and of a listed set are the same, it holds both.
+    least = [F.array(*[F.coalesce(F.min(F.when(F.col("asks") == asks, r)), F.lit(0)) for r in ranks]).alias(name) for name, asks in (("in_asked", True), ("in_listed", False))]
+    about = sets.select("fp", "sketch").join(rows.groupBy("fp").agg(*least), "fp")
+    rows = rows.join(about, "fp").withColumn("first", F.when(F.col("asks"), F.col("in_asked")).otherwise(F.col("in_listed")))
+    cell, key = F.struct("fp", "n", "component", "sketch", "first"), ["run", "want", "others", "rest", "block"]
     asks = rows.filter("asks").groupBy(*key).agg(F.collect_list(cell).alias("x"))
     asks = asks.select("run", "want", "x", F.explode(F.expr("sequence(if(block < others, others, 0), others + rest - 1)")).alias("block"))
     listed = rows.filter("not asks").groupBy(*key).agg(F.collect_list(cell).alias("y")).select("run", "want", "block", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def arrays(cells: pa.Array) -> tuple[np.ndarray, tuple]:
+        def arrays(cells: pa.Array) -> tuple[np.ndarray, np.ndarray, tuple]:
             fp, n, group = (cells.field(k).to_numpy() for k in range(3))
-            return fp, (n, group, cells.field(3).to_pylist())
+            first = cells.field(4).flatten().to_numpy().reshape(-1, ORDERS)
+            return fp, first, (n, group, cells.field(3).to_pylist())
 
         for batch in batches:
             for i in range(batch.num_rows):
-                (a, x), (b, y) = arrays(batch.column(2)[i].values), arrays(batch.column(3)[i].values)
+                (a, first_a, x), (b, first_b, y) = arrays(batch.column(2)[i].values), arrays(batch.column(3)[i].values)
                 p, q, apart = _near(x, y)
+                common = first_a[p] == first_b[q]
+                order = common.argmax(axis=1)
+                here = first_a[p, order] == np.array(batch.column(4)[i].as_py())[order]
+                p, q, apart = (v[here | ~common.any(axis=1)] for v in (p, q, apart))
                 more = not all_pairs and len(p) > PAIRS * (len(a) + len(b))
                 if more:
                     order = np.lexsort((b[q], a[p], apart))
@@ -431,7 +443,8 @@ def _crossing(rows: DataFrame, sets: DataFrame, all_pairs: bool) -> DataFrame:
                     same = [pa.array([v.as_py()] * len(p), kind) for v, kind in ((batch.column(0)[i], pa.int64()), (batch.column(1)[i], pa.int32()), (pa.scalar(more), pa.bool_()))]
                     yield pa.RecordBatch.from_arrays([pa.array(a[p]), pa.array(b[q]), pa.array(x[0][p]), pa.array(y[0][q]), *same], names=["a", "b", "na", "nb", "run", "want", "more"])
 
-    return asks.join(listed, ["run", "want", "block"]).select("run", "want", "x", "y").mapInArrow(run, "a long, b long, na long, nb long, run long, want int, more boolean")
+    both = asks.join(listed, ["run", "want", "block"]).select("run", "want", "x", "y", F.array(*ranks).alias("ranks"))
+    return both.mapInArrow(run, "a long, b long, na long, nb long, run long, want int, more boolean")
 
 
 def _in_order(pairs: DataFrame) -> DataFrame:
@@ -441,7 +454,8 @@ def _in_order(pairs: DataFrame) -> DataFrame:
 
 def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: float = 8.0) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach), and fp and group, numbers of its set and of the group of sets that links reach."""
-    scratch = Scratch(docs.sparkSession)
+    spark = docs.sparkSession
+    scratch, least_files = Scratch(spark), spark.sparkContext.defaultParallelism
     write = scratch.write
     all_docs = write(profiles(docs, doc_id, text, spread), "profiles")
     known = all_docs.filter("n > 0 and doc_id is not null")
@@ -467,7 +481,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     bare = sets.filter("units <= floor(2 * n / 7)").select("fp", "n", "rep")
     needed = seen.select(F.col("a").alias("fp")).union(seen.select("b")).union(both.select("fp")).union(bare.select("fp")).distinct().join(sets.select("fp", "rep"), "fp")
     needed = write(needed, "needed", rows / THIN)
-    hashed = write(_hashes(docs, doc_id, text, needed), "hashes", needed.count() / FAT)
+    hashed = write(_hashes(docs, doc_id, text, needed), "hashes", max(least_files, needed.count() / FAT))
     if not bare.isEmpty():
         more = write(_in_order(_by_prefix(docs, text, bare.join(hashed, "fp"))), "by_prefix")
         others = more.select(F.explode(F.array("a", "b")).alias("fp")).distinct().join(hashed.select("fp"), "fp", "left_anti").join(sets.select("fp", "rep"), "fp")
@@ -475,7 +489,7 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
         seen = seen.union(more).distinct()
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        files = pairs.count() / FAT
+        files = max(least_files, pairs.count() / FAT)
         pairs = write(_sketched(pairs.filter("4 * na >= 3 * nb and 4 * nb >= 3 * na"), sets), f"{name}_pairs", files)
         lost = pairs.select(F.explode(F.array("a", "b")).alias("fp")).join(hashed.select("fp"), "fp", "left_anti")
         if not lost.isEmpty():
@@ -485,10 +499,11 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     groups = components(scratch, verified(seen, "links"), "groups")
     scratch.drop("seen")
     for turn in range(ROUNDS + 1):
-        open_ = write(_open_lists(both, groups), f"open{turn}", files)
+        open_ = write(_open_lists(both, groups), f"open{turn}", max(least_files, files))
         scratch.drop(f"open{turn - 1}" if turn else "crowded")
         files = open_.count() / THIN
-        cross = write(_crossing(open_, sets, all_pairs=turn == ROUNDS), f"cross{turn}", 10 * files)
+        with setting(spark, BATCH, str(max(1, BLOCK // 16))):  # rows hold blocks
+            cross = write(_crossing(open_, sets, all_pairs=turn == ROUNDS), f"cross{turn}", max(least_files, 10 * files))
         further = verified(write(_in_order(cross), f"further{turn}", files), f"links{turn}")
         if not further.isEmpty():
             groups = _merged(scratch, groups, further, f"groups{turn}")
