@@ -47,6 +47,8 @@ from strandframe.llm.common import BATCH, Scratch, checkpointed, partitions, set
 from strandframe.llm.textvec import chunks, mix, shingle_sets
 
 WORDS = 5
+#: Standard deviations by which sets have more units than differences.
+SPREAD = 8.0
 #: Sets of up to so many shingles are also indexed by one-deletion neighbourhoods.
 SMALL = 63
 #: Index entries in one group of the join, about; entries that a task holds before it passes them on.
@@ -166,7 +168,7 @@ def _from_planes(data: bytes, width: int, kind: type, skip: int = 0) -> np.ndarr
     return out.reshape(-1).view(kind)
 
 
-def profiles(docs: DataFrame, doc_id: str, text: str, spread: float) -> DataFrame:
+def profiles(docs: DataFrame, doc_id: str, text: str, spread: float = SPREAD) -> DataFrame:
     """Of each document: id, and fp, n, units and sketch of its set."""
     rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
 
@@ -452,7 +454,7 @@ def _in_order(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swapped, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swapped, F.col("na")).otherwise(F.col("nb")).alias("nb")).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: float = 8.0) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spread: float = SPREAD) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id (the smallest id that links reach), and fp and group, numbers of its set and of the group of sets that links reach."""
     spark = docs.sparkSession
     scratch, least_files = Scratch(spark), spark.sparkContext.defaultParallelism

@@ -21,12 +21,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import checkpointed, with_row_numbers
+from strandframe.llm.common import checkpointed, partitions, with_row_numbers
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST = 1.5, 2
-#: A source's rows meet its target in so many groups.
-SALTS = 32
 MADE = ["size", "source_size", "target", "copies", "taken"]
 
 
@@ -35,7 +33,7 @@ def words(text: str) -> F.Column:
 
 
 def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """(source, source_size, target) of the sources (source, source_size)."""
+    """source, source_size, n and target of the sources (source, source_size, n)."""
     ranked = with_row_numbers(sizes.withColumn("unknown", F.col("source").isNull().cast("int")), [], ["unknown", "source"], "rank").drop("unknown")
     ranked = checkpointed(ranked.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("rank") - 1) % len(weights) + 1).cast("int"))))
     cap = most * F.col("source_size")
@@ -47,7 +45,7 @@ def targets(sizes: DataFrame, share: float = SHARE, most: int = MOST, weights: t
         if not weight or n == stopped:
             break
         level, stopped = (share * total - full) / weight, n
-    return ranked.select("source", "source_size", F.least(F.col("weight") * F.lit(level or 0.0), cap.cast("double")).alias("target"))
+    return ranked.select("source", "source_size", "n", F.least(F.col("weight") * F.lit(level or 0.0), cap.cast("double")).alias("target"))
 
 
 def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text", seed: str = "", keep: list[str] | None = None, share: float = SHARE, most: int = MOST) -> DataFrame:
@@ -55,10 +53,13 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", source: str = "source",
     kept = [c for c in (docs.columns if keep is None else keep) if c not in MADE]
     rows = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{doc_id}`").alias("\x00id"), F.col(f"`{source}`").alias("\x00source"), words(text).alias("size"))
     rows = with_row_numbers(checkpointed(rows), ["\x00source"], ["size", "\x00id"], "\x00place")
-    goals = targets(rows.groupBy(F.col("\x00source").alias("source")).agg(F.sum("size").alias("source_size")), share, most)
-    goals = goals.withColumn("\x00salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    goals = goals.withColumnRenamed("source", "\x00goal")
-    met = rows.withColumn("\x00dealt", F.pmod(F.hash("\x00place"), F.lit(SALTS))).join(goals, (F.col("\x00dealt") == F.col("\x00salt")) & F.col("\x00source").eqNullSafe(F.col("\x00goal")))
+    goals = targets(rows.groupBy(F.col("\x00source").alias("source")).agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")), share, most)
+    goals = checkpointed(goals.withColumnRenamed("source", "\x00goal").withColumnRenamed("n", "\x00n"))
+    # Sources with many rows are few, so that they can be sent to the rows, however many these are.
+    same, n = F.col("\x00source").eqNullSafe(F.col("\x00goal")), goals.agg(F.sum("\x00n")).first()[0] or 0
+    large = F.col("\x00n") * 2 * partitions(docs) > n
+    hot = F.broadcast(goals.filter(large))
+    met = rows.join(hot, same).unionByName(rows.join(hot.select("\x00goal"), same, "left_anti").join(goals.filter(~large), same))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), F.coalesce(F.concat(F.lit("s"), F.col("\x00source").cast("string")), F.lit("n")))), 1, 8), 16, 10).cast("double") / 4294967296
     copies = F.floor(F.col("\x00place") * rate + offset) - F.floor((F.col("\x00place") - 1) * rate + offset)

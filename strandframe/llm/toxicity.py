@@ -2,7 +2,7 @@
 
 Fitting. The lexicon is learned from labelled rows, of which at most ``LABELS_MOST`` take part (those with the
 smallest hash of their id, so a fixed choice). Words and word beginnings that nearly only toxic rows hold
-are found by one distributed count; of these a greedy cover of the toxic rows keeps the few that explain
+are found by one distributed count over all of these; only they, and the words of toxic rows that begin with them, reach the driver; of these a greedy cover of the toxic rows keeps the few that explain
 them. A term whose words are nearly always the term itself is a word, else a stem, which fits all words
 that begin with it. A logistic model over three sums of evidence is then fitted on the same rows.
 
@@ -32,11 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandframe.llm.common import checkpointed
 from strandframe.llm.textvec import Texts, chunks, mix, shingle_sets
 
-#: Bounds of the fit: labelled rows, word beginnings examined, terms kept.
-LABELS_MOST, BEGINNINGS_MOST, TERMS_MOST = 20_000, 5_000, 200
-SHORTEST = 3
+#: The one bound of the fit: labelled rows. Which words are looked at and kept is a matter of evidence alone.
+LABELS_MOST = 20_000
+#: Shortest beginning of a word, and its least evidence: toxic rows that hold it, times the logarithm of its lift.
+SHORTEST, EVIDENCE = 3, 8
 #: Smallest hashes of a text's shingles (of so many words), and how many two texts have in common at least that are copies.
 HASHES, SHINGLE, ALIKE = 32, 5, 16
 #: How many times as frequent in toxic rows a term is at least: one that explains further rows, and another one.
@@ -358,7 +360,7 @@ def _cover(beginnings: list[tuple[str, float, float]], rows: list[list[str]], fa
         gained = holds[best]
         known = len({family[i] for i in gained})
         explains = 10 * len(gained & left) >= 3 * len(gained)
-        if len(terms) == TERMS_MOST or known < (max(3, families // 200) if explains else 8) or not explains and lift[best] < LIFT_AGAIN:
+        if known < (max(3, families // 200) if explains else 8) or not explains and lift[best] < LIFT_AGAIN:
             continue
         terms[best] = words[best][best] < 0.9 * sum(words[best].values())
         left -= gained
@@ -383,14 +385,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
         return Model({}, PRIOR.copy())
     beginnings = counts.select(F.explode(F.sequence(F.lit(SHORTEST), F.length("w"))).alias("l"), "w", "yes", "no").groupBy(F.substring("w", F.lit(1), F.col("l")).alias("b")).agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
     lift = F.col("yes") / yes / ((F.col("no") + 0.5) / (n - yes))
-    beginnings = beginnings.withColumn("lift", lift).filter((F.col("yes") * F.log("lift") >= 8) & (F.col("lift") >= LIFT)).orderBy(F.desc(F.col("yes") * F.log("lift")), "b").limit(BEGINNINGS_MOST).select("b", "lift").collect()
+    beginnings = beginnings.withColumn("lift", lift).filter((F.col("yes") * F.log("lift") >= EVIDENCE) & (F.col("lift") >= LIFT)).select("b", "lift")
+    beginnings = checkpointed(beginnings)
+    begin = words.filter("`\x00y` = 1").withColumn("b", F.explode(F.expr(f"transform(sequence({SHORTEST}, length(w)), l -> substring(w, 1, l))"))).join(beginnings, "b", "left_semi")
+    suspects = begin.groupBy("\x00id").agg(F.collect_set("w").alias("ws")).select("\x00id", "ws").collect()
+    beginnings = sorted(map(tuple, beginnings.collect()))
     if not beginnings:
         return Model({}, PRIOR.copy())
-    short = docs.sparkSession.createDataFrame([(x,) for x in sorted({b[0][:SHORTEST] for b in beginnings})], "s string")
-    suspects = words.filter("`\x00y` = 1").withColumn("s", F.substring("w", 1, SHORTEST)).join(F.broadcast(short), "s").groupBy("\x00id").agg(F.collect_set("w").alias("ws")).select("\x00id", "ws").collect()
     drawn = dict(map(tuple, _drawn(rows.filter("`\x00y` = 1"), "\x00id", "\x00text").collect()))
     held = [(sorted(ws), drawn[i]) for i, ws in suspects]
-    terms = _cover([tuple(b) for b in beginnings], [ws for ws, _ in held], _families([x for _, x in held]))
+    terms = _cover(beginnings, [ws for ws, _ in held], _families([x for _, x in held]))
     found = [f"\x00f{k}" for k in range(2 * KINDS)]
     seen = _features(rows.select("\x00y", "\x00text"), terms, "\x00text").groupBy("\x00y", *[F.round(F.col(f) * 16).alias(f) for f in found]).count().collect()
     x = np.array([[1.0, *(v / 16 for v in r[1:-1])] for r in seen])

@@ -18,14 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandframe.llm.common import ascii_lower, checkpointed
+from strandframe.llm.common import ascii_lower, checkpointed, partitions
 
 #: Verdict, host and path of each rule.
 RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-DAMPING, ROUNDS, SMALLEST_CHANGE = 0.85, 12, 1e-4
-RATIO, FLOOR = 1.5, 0.05
-SALTS = 32
-LINK = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'>\s]+)"""
+DAMPING = 0.85
+#: A host is blocked above so many times its trust and above this part of an even share; scores are exact to that part of the latter.
+RATIO, FLOOR, EXACT = 1.5, 0.05, 0.1
+#: The absolute address that an ``a`` element names.
+LINK = r"""(?i)<a\s(?:[^<>]*?[\s"'])?href\s*=\s*["']?\s*(?:https?:)?//([^/?#"'>\s]+)"""
 
 
 def host_and_path(url: str) -> tuple[Column, Column]:
@@ -46,8 +47,12 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Co
     return out
 
 
-def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(host, score): personalised PageRank from seeds (host, seed, which sum to 1) over edges (src, dst, n)."""
+def propagated(edges: DataFrame, seeds: DataFrame, tolerance: float) -> DataFrame:
+    """(host, score): personalised PageRank from seeds (host, seed, which sum to 1) over edges (src, dst, n), with at most ``tolerance`` missing in all scores together.
+
+    A round passes on at most ``DAMPING`` times what the round before changed, so what further rounds could still
+    change is a geometric sum; rounds go on until that is below the tolerance, however many that takes.
+    """
     # The out-weights meet in sums by host, the edges are joined by host: no host's rows are collected.
     share = edges.join(edges.groupBy("src").agg(F.sum("n").alias("out")), "src").select("src", "dst", (F.col("n") / F.col("out")).alias("share"))
     share = checkpointed(share)
@@ -55,14 +60,13 @@ def propagated(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     if share.isEmpty():
         return ranks
     start = ranks = checkpointed(ranks)
-    for _ in range(ROUNDS):
+    while True:
         moved = share.join(ranks, share.src == ranks.host).groupBy(F.col("dst").alias("host")).agg(F.sum(F.col("score") * F.col("share") * DAMPING).alias("score"))
         after = checkpointed(moved.unionByName(start).groupBy("host").agg(F.sum("score").alias("score")))
         change = after.join(ranks.withColumnRenamed("score", "was"), "host", "left").agg(F.sum(F.abs(F.col("score") - F.coalesce("was", F.lit(0.0))))).first()[0] or 0.0
         ranks = after
-        if change < SMALLEST_CHANGE:
-            break
-    return ranks
+        if change * DAMPING / (1 - DAMPING) <= tolerance:
+            return ranks
 
 
 def host_edges(pages: DataFrame, host: str, html: str) -> DataFrame:
@@ -79,16 +83,19 @@ def filter_urls(pages: DataFrame, url: str = "url", html: str = "html", rules: l
     host, path = host_and_path(url)
     rows = pages.select(*[F.col(f"`{c}`") for c in kept], host.alias("\x00host"), path.alias("\x00path"), F.col(f"`{html}`").alias("\x00html")).withColumn("\x00rule", rule_of(F.col("\x00host"), F.col("\x00path"), rules))
     edges = checkpointed(host_edges(rows, "\x00host", "\x00html"))
-    counts = checkpointed(rows.groupBy(F.col("\x00host").alias("host")).agg(F.sum(F.coalesce((F.col("\x00rule.verdict") == "allow").cast("long"), F.lit(0))).alias("allowed"), F.sum(F.coalesce((F.col("\x00rule.verdict") == "block").cast("long"), F.lit(0))).alias("blocked")))
-    totals = counts.agg(F.sum("allowed"), F.sum("blocked"), F.sum((F.col("blocked") > 0).cast("long"))).first()
+    counts = checkpointed(rows.groupBy(F.col("\x00host").alias("host")).agg(F.sum(F.coalesce((F.col("\x00rule.verdict") == "allow").cast("long"), F.lit(0))).alias("allowed"), F.sum(F.coalesce((F.col("\x00rule.verdict") == "block").cast("long"), F.lit(0))).alias("blocked"), F.count(F.lit(1)).alias("rows")))
+    totals = counts.agg(F.sum("allowed"), F.sum("blocked"), F.sum((F.col("blocked") > 0).cast("long")), F.sum("rows")).first()
     seeds = lambda c, all_: counts.filter(F.col(c) > 0).select("host", (F.col(c) / F.lit(float(all_ or 1))).alias("seed"))
-    trust = propagated(edges, seeds("allowed", totals[0])).withColumnRenamed("score", "trust")
-    distrust = propagated(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("blocked", totals[1])).withColumnRenamed("score", "distrust")
     even = (1 - DAMPING) / max(1, totals[2] or 0)
-    judged = counts.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
+    tolerance = EXACT * FLOOR * even
+    trust = propagated(edges, seeds("allowed", totals[0]), tolerance).withColumnRenamed("score", "trust")
+    distrust = propagated(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"), seeds("blocked", totals[1]), tolerance).withColumnRenamed("score", "distrust")
+    judged = counts.select("host", F.col("rows").alias("\x00rows")).join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0)
     judged = judged.withColumn("\x00bad", (F.col("distrust") > RATIO * F.col("trust")) & (F.col("distrust") > FLOOR * even))
-    judged = judged.withColumn("\x00salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumnRenamed("host", "\x00of")
-    dealt = rows.drop("\x00html").withColumn("\x00dealt", F.pmod(F.xxhash64("\x00path", *[f"`{c}`" for c in kept[:2]]), F.lit(SALTS)).cast("int"))
-    met = dealt.join(judged, (F.col("\x00host") == F.col("\x00of")) & (F.col("\x00dealt") == F.col("\x00salt")))
+    judged = checkpointed(judged.withColumnRenamed("host", "\x00host"))
+    # Hosts with many rows are few, so that they can be sent to the rows, however many these are.
+    large = F.col("\x00rows") * 2 * partitions(pages) > (totals[3] or 0)
+    rows, hot = rows.drop("\x00html"), F.broadcast(judged.filter(large))
+    met = rows.join(hot, "\x00host").unionByName(rows.join(hot.select("\x00host"), "\x00host", "left_anti").join(judged.filter(~large), "\x00host"))
     own = F.when(F.col("\x00bad"), "block").otherwise("allow")
     return met.select(*[F.col(f"`{c}`") for c in kept], F.col("\x00host").alias("host"), F.col("\x00path").alias("path"), F.col("\x00rule.text").alias("rule"), F.coalesce("\x00rule.verdict", own).alias("verdict"), "trust", "distrust")

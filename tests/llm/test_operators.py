@@ -1,6 +1,7 @@
 """Each operator on small tables against brute force, and on odd inputs: nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -9,7 +10,7 @@ import public_tokenizers as P
 import pytest
 import tiktoken
 
-from strandframe.llm import bpe, chat, html_extract, jaccard, license_scan, mixing, quality, topk, url_filters
+from strandframe.llm import bpe, chat, html_extract, jaccard, license_scan, mixing, quality, topk, toxicity, url_filters
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RANKS = P.path("byte_bpe_multi_50k.tiktoken")
@@ -297,29 +298,127 @@ def test_urls(spark):
     assert by[2][3] == "allow" and by[4] == ("farm.net", "/a", None, "block") and by[11] == ("y.com", "/en", None, "allow")
 
 
-def test_propagation_is_page_rank(spark):
-    rng = random.Random(1)
-    edges = {(rng.randrange(12), rng.randrange(12)): rng.randint(1, 4) for _ in range(40)}
-    edges = {k: v for k, v in edges.items() if k[0] != k[1]}
-    score = start = {1: 0.15 * 0.5, 2: 0.15 * 0.5}
+def page_rank(edges, seeds):
+    """Exactly, by solving for the scores."""
+    import numpy as np
+
+    hosts = sorted({h for e in edges for h in e} | set(seeds))
+    at = {h: i for i, h in enumerate(hosts)}
     out = Counter()
     for (a, _), n in edges.items():
         out[a] += n
-    for _ in range(url_filters.ROUNDS):
-        after = defaultdict(float, start)
-        for (a, b), n in edges.items():
-            after[b] += 0.85 * score.get(a, 0) * n / out[a]
-        score = dict(after)
-    table = spark.createDataFrame([(str(a), str(b), n) for (a, b), n in edges.items()], "src string, dst string, n long")
-    seeds = spark.createDataFrame([("1", 0.5), ("2", 0.5)], "host string, seed double")
-    got = {int(r.host): r.score for r in url_filters.propagated(table, seeds).collect()}
-    assert all(abs(got[h] - s) < 2e-3 for h, s in score.items())
+    m = np.eye(len(hosts))
+    for (a, b), n in edges.items():
+        m[at[b], at[a]] -= 0.85 * n / out[a]
+    start = np.zeros(len(hosts))
+    for h, w in seeds.items():
+        start[at[h]] = 0.15 * w
+    return dict(zip(hosts, np.linalg.solve(m, start), strict=True))
 
 
-def test_pipeline(spark, tmp_path):
-    import corpus_pipeline
+def test_propagation_is_page_rank(spark):
+    rng = random.Random(1)
+    edges = {(str(rng.randrange(12)), str(rng.randrange(12))): rng.randint(1, 4) for _ in range(40)}
+    edges = {k: v for k, v in edges.items() if k[0] != k[1]} | {(f"c{i}", f"c{(i + 1) % 30}"): 1 for i in range(30)}
+    table = spark.createDataFrame([(a, b, n) for (a, b), n in edges.items()], "src string, dst string, n long")
+    seeds = {"1": 0.25, "2": 0.25, "c0": 0.5}
+    got = {r.host: r.score for r in url_filters.propagated(table, spark.createDataFrame(list(seeds.items()), "host string, seed double"), 1e-4).collect()}
+    want = page_rank(edges, seeds)
+    assert sum(abs(got.get(h, 0) - s) for h, s in want.items()) <= 1e-4 and got["c25"] > 0
+
+
+def test_verdicts_of_linked_hosts(spark):
+    """Every page against rules, links and scores by brute force; the chain of hosts is longer than a dozen."""
+    rng = random.Random(6)
+    hosts = [f"h{i}.{'org' if i < 5 else 'net'}" for i in range(25)] + [f"k{i}.net" for i in range(20)] + ["bad.com"]
+    rows = []
+    for p in range(300):
+        host = rng.choice(hosts[:25])
+        to = [rng.choice(hosts[:25] + ["bad.com"]) for _ in range(rng.randint(0, 3))]
+        rows.append((p, f"http://{host.upper() if p % 2 else host}/x{p}", "<a class=y href='http://%s/z'>" % "'></a><a href='https://".join(to) + "</a>" if to else "<link href='http://bad.com/'>"))
+    rows += [(1000 + i, f"http://k{i}.net/", f'<a href="//k{i + 1}.net">' if i < 19 else '<a\nhref=http://bad.com/de/>') for i in range(20)]
+    rows += [(2000 + i, "http://bad.com/de/" + str(i), "") for i in range(3)]
+    edges, allowed, blocked = Counter(), Counter(), Counter()
+    for _, url, html in rows:
+        host = url.split("/")[2].lower()
+        (allowed if host.endswith(".org") else blocked if host == "bad.com" else Counter())[host] += 1
+        for to in re.findall(r"<a[^>]*href=['\"]?(?:https?:)?//([^/'\">]+)", html):
+            if to != host:
+                edges[host, to] += 1
+    trust = page_rank(edges, {h: n / sum(allowed.values()) for h, n in allowed.items()})
+    distrust = page_rank({(b, a): n for (a, b), n in edges.items()}, {h: n / sum(blocked.values()) for h, n in blocked.items()})
+    got = url_filters.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) and {r.verdict for r in got if r.rule is None} == {"allow", "block"}
+    even, near = 0.15, 0.1 * 0.05 * 0.15
+    for r in got:
+        t, d = trust.get(r.host, 0), distrust.get(r.host, 0)
+        assert abs(r.trust - t) <= near and abs(r.distrust - d) <= near
+        if r.rule is None and min(abs(d - 1.5 * t), abs(d - 0.05 * even)) > 2.5 * near:
+            assert r.verdict == ("block" if d > 1.5 * t and d > 0.05 * even else "allow"), r
+
+
+def test_urls_odd_tables(spark):
+    rows = spark.createDataFrame([(1, "http://a.org/", "<a href='http://b.net'>", "mine", 5)], "page_id long, url string, html string, host string, rows long")
+    (r,) = url_filters.filter_urls(rows).collect()
+    assert (r.host, r.rows, r.verdict) == ("a.org", 5, "allow")
+    assert url_filters.filter_urls(rows.limit(0)).collect() == []
+
+
+def brute_pipeline(rows, model):
+    """What run() gives for rows (doc_id, text, lang, source, n_chars), without Spark."""
+    lexicon = toxicity.Lexicon(model.terms)
+    kept = []
+    for row in rows:
+        words, sums = WORD.findall(row[1] or ""), [0.0] * toxicity.KINDS
+        for i, w in enumerate(words):
+            if k := lexicon.kind(w):
+                low = max(0, i - toxicity.WINDOW)
+                sums[k - 1] += toxicity._context(words[low : i + toxicity.WINDOW + 1], i - low)
+        found = [1 - math.exp(-x) for x in sums] + [min(1, x / (toxicity.DENSE * max(len(words), 50))) for x in sums]
+        toxic = 1 / (1 + math.exp(-model.weights[0] - sum(w * x for w, x in zip(model.weights[1:], found, strict=True)))) >= 0.3
+        if not toxic and good(words):
+            kept.append(row)
+    component = [(d, c) for d, _, c in brute_groups([(r[0], r[1]) for r in kept])]
+    assert len({d for d, _ in component}) == len(kept)
+    first = {d for d, c in component if d == c}
+    kept = sorted((r for r in kept if r[0] in first), key=lambda r: (len(WORD.findall(r[1])), r[0]))
+    size = Counter()
+    for r in kept:
+        size[r[3]] += len(WORD.findall(r[1]))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(size))}
+    target, free, left = {}, set(size), 1.5 * sum(size.values())
+    while over := {s for s in free if weight[s] * left / sum(weight[x] for x in free) > 2 * size[s]}:
+        target |= {s: 2 * size[s] for s in over}
+        free -= over
+        left = 1.5 * sum(size.values()) - sum(target.values())
+    target |= {s: weight[s] * left / sum(weight[x] for x in free) for s in free}
+    enc, out, place = bpe.encoding(RANKS, P.PATTERN), Counter(), Counter()
+    for r in kept:
+        place[r[3]] += 1
+        rate, offset = target[r[3]] / size[r[3]], int(hashlib.md5(f"s{r[3]}".encode()).hexdigest()[:8], 16) / 2**32
+        copies = math.floor(place[r[3]] * rate + offset) - math.floor((place[r[3]] - 1) * rate + offset)
+        if copies:
+            ids = tuple(enc.encode_ordinary(r[1]))
+            out[r[0], r[3], len(ids), ids] = copies
+    return out
 
-    rng = random.Random(12)
+
+def good(w):
+    n, longest = len(w), []
+    for i in range(n):
+        k = [0]
+        for j in range(n):
+            m = 0
+            while i != j and i + m < n and j + m < n and w[i + m] == w[j + m]:
+                m += 1
+            k.append(m)
+        longest.append(max(k))
+    covered = lambda least: len({x for i, m in enumerate(longest) if m >= least for x in range(i, i + m)})
+    return n >= 10 and 100 * covered(5) <= 20 * n and 100 * covered(quality.LONG) <= quality.MAX_LONG_PERCENT * n and max(longest) <= quality.MAX_LONGEST
+
+
+def corpus(seed):
+    rng = random.Random(seed)
     make = lambda n: " ".join("".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(n))
     rows, labels = [], []
     for i in range(240):
@@ -328,18 +427,44 @@ def test_pipeline(spark, tmp_path):
             text = "clown " + text + " you clown clown"
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
         labels.append((i, 1, int(i % 6 == 0)))
-    rows += [(300 + i, rows[i][1], "en", "s0", rows[i][4]) for i in (1, 2, 3)] + [(310, "again and again " * 30, "en", "s1", 1), (311, None, "en", None, 0)]
-    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
-    kept = {r[0]: r for r in rows if r[0] < 240 and r[0] % 6}
-    sizes = Counter()
-    for r in kept.values():
-        sizes[r[3]] += len(WORD.findall(r[1]))
-    enc = bpe.encoding(RANKS, P.PATTERN)
-    assert {r.doc_id for r in got} <= set(kept)
-    copies = Counter(r.doc_id for r in got)
-    assert max(copies.values()) <= 2 and all(list(r.ids) == enc.encode_ordinary(kept[r.doc_id][1]) and r.n_tokens == len(r.ids) for r in got)
-    taken = sum(len(WORD.findall(kept[d][1])) * n for d, n in copies.items())
-    assert abs(taken - 1.5 * sum(sizes.values())) < 400
-    assert len(corpus_pipeline.STAGES) == 5
+    for i in (1, 2, 3, 50, 51, 52):  # copies and near copies, a chain among them
+        rows.append((300 + i, rows[i][1], "en", "s0", rows[i][4]))
+        rows.append((400 + i, rows[i][1] + " " + make(6), "en", "s2", 0))
+        rows.append((500 + i, rows[-1][1] + " " + make(6), "en", "s2", 0))
+    part = make(15)
+    rows += [(310, "again and again " * 30, "en", "s1", 1), (311, None, "en", None, 0), (312, f"{part} {make(120)} {part}", "de", "s1", 1), (313, make(9), "en", "s1", 1), (314, 'they said the word "clown" of ' + make(30), "en", "s1", 1)]
+    return rows, labels
+
+
+def written(spark, path, rows, labels):
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+
+
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline
+
+    rows, labels = corpus(12)
+    written(spark, tmp_path, rows, labels)
+    tables = [spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("documents", "labels")]
+    want = brute_pipeline(rows, toxicity.fit(*tables))
+    assert any(n == 2 for n in want.values()) and 100 < len({k[0] for k in want}) < 215
+    got = Counter((r.doc_id, r.source, r.n_tokens, tuple(r.ids)) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == want and len(corpus_pipeline.STAGES) == 5
+
+
+def test_pipeline_odd_tables(spark, tmp_path):
+    """No documents; no labels; rows that repeat an id, of which one is near another text and one is not."""
+    import corpus_pipeline
+
+    rows, _ = corpus(3)
+    written(spark, f"{tmp_path}/none", [], [])
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
+    a, b, c = (r[1] for r in rows[1:4])
+    rows = [(1, a, "en", "s", 1), (2, a + " more", "en", "s", 1), (2, b, "en", "s", 1), (2, b, "en", "s", 1), (3, b + " more", "en", "s", 1), (None, c, "en", "s", 1), (None, c, "en", "s", 1)]
+    written(spark, f"{tmp_path}/some", rows, [])
+    docs = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    kept = corpus_pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert kept.columns == corpus_pipeline.COLUMNS
+    assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, a): 1, (2, b): 1, (None, c): 2}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() == 6
