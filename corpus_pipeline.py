@@ -5,16 +5,17 @@ duplicates keeps of each group of linked documents the one with the smallest id;
 documents to meet the sources' target weights; encoding gives each remaining row its token ids.
 
 Rows that repeat an id are rows of their own; all stages but near duplicates judge each row by itself, and that
-one keeps one row of a group. Rows without an id aren't linked, and stay.
+one keeps one row of a group. Rows without an id aren't linked, and stay. An empty table gives an empty one;
+without labels nothing is toxic.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandframe.llm import bpe, jaccard, mixing, quality, toxicity
-from strandframe.llm.common import checkpoint_folder, checkpointed, table
+from strandframe.llm.common import Scratch, checkpointed, table
 from strandframe.llm.queries import TOXIC, tokenizer
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -40,21 +41,24 @@ def _sent(ids: DataFrame) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
     groups = jaccard.near_duplicate_groups(docs.select("doc_id", "text"))
-    dropped = _sent(groups.filter("component_id <> doc_id").select("doc_id").distinct())
+    again = _sent(docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"))
+    dropped = _sent(groups.filter("component_id <> doc_id").select("doc_id").join(again, "doc_id", "left_anti"))
     kept = docs.join(dropped, "doc_id", "left_anti")
-    # Rows that repeat an id that stays are of its group: the first by its text stays.
-    again = checkpointed(docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    again = _sent(again)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "source", "lang", "n_chars"))
-    several = kept.join(again, "doc_id", "left_semi").withColumn("place", first).filter("place = 1").drop("place")
+    # Rows that repeat an id: each is judged by its own set, and of a group that begins with the id one row stays.
+    rows = docs.join(again, "doc_id", "left_semi").select(F.struct(*COLUMNS).alias("row"), "text")
+    rows = jaccard.profiles(rows, "row", "text").select(F.col("doc_id").alias("row"), "fp", "n")
+    first = groups.filter("component_id = doc_id").join(again, "doc_id", "left_semi").select("doc_id", F.col("fp").alias("of"), "group").distinct()
+    linked = rows.filter("n > 0").join(first, F.expr("row.doc_id = doc_id and fp = of")).groupBy("group").agg(F.min("row").alias("row"))
+    several = rows.filter("n = 0").select("row.*").unionByName(linked.select("row.*"))
     return kept.join(again, "doc_id", "left_anti").unionByName(several)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # Only numbers go through the sampling; texts meet their copies once. The numbers of rows are those of the files that docs reads.
-    rows = docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id())
+    # Only places of rows in their files and sizes go through the sampling; texts meet their copies once.
+    place = F.struct("_metadata.file_name", "_metadata.row_index").alias("row")
+    rows = docs.select(*COLUMNS, place)
     mixed = mixing.mix_sources(rows, keep=["row"]).filter("copies > 0").select("row", F.col("copies").cast("int").alias("copies"))
     return rows.join(mixed, "row").select(*COLUMNS, F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy")).select(*COLUMNS)
 
@@ -65,19 +69,17 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("toxicity", drop_toxic), ("quality rules", drop_poor), ("n-gram Jaccard join", drop_near_copies), ("mixing to target weights", mix), ("byte-level BPE", encode)]
-#: Learned scores, suffix arrays and BPE are beyond SQL; the tests hold run() against a brute-force version.
+#: Learned scores, suffix arrays and BPE are beyond SQL; a test holds the rows of run() against those of a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; between stages the rows are written to the shared checkpoint folder."""
-    import uuid
-
-    docs = table(spark, sf_dir, "documents")
-    folder = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    """All stages on ``documents``; between stages the rows are written to the shared checkpoint folder, and what a stage has read is deleted."""
+    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{i}")
-            docs = spark.read.parquet(f"{folder}/{i}")
+            docs = scratch.write(docs, str(i))
+            if i:
+                scratch.drop(str(i - 1))
     return docs
