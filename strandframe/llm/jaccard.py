@@ -57,8 +57,9 @@ GROUP, FLUSH = 750_000, 1_000_000
 BLOCK, PAIRS, ROUNDS = 1024, 8, 4
 #: Orders of lists, by whose first common list a pair is passed on.
 ORDERS = 6
-#: Rows in a file: of numbers, with sketches, with hashes.
-THIN, WIDE, FAT = 50_000, 20_000, 1_000
+#: Rows in a file: of numbers, with sketches, with hashes; shingles whose index entries make one. Each file costs the file
+#: system calls, on a local one even processes, so that small tables get few.
+THIN, WIDE, FAT, MANY = 500_000, 20_000, 5_000, 4_000_000
 #: Ids that are broadcast, at most (16 MB of numbers); more go through a join that shuffles.
 IDS_SENT = 1_000_000
 #: Kinds of entries; what marks a signature that a task has passed on; entries of such in one piece.
@@ -465,8 +466,8 @@ def near_duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     sets = known.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("units").alias("units"), F.first("sketch").alias("sketch"))
     sets = write(sets, "sets", rows / WIDE)
     copies = postings(docs, text, max(2 * partitions(docs), math.ceil(0.7 * (total or 0) / GROUP)), spread).groupBy("run", "fp")
-    entries = write(copies.agg(*[F.first(c).alias(c) for c in ("kind", "own", "seg", "n", "units")]), "entries")
-    files = entries.count() / THIN
+    entries = write(copies.agg(*[F.first(c).alias(c) for c in ("kind", "own", "seg", "n", "units")]), "entries", max(least_files, (total or 0) / MANY))
+    files = max(least_files, entries.count() / THIN)
     lists = write(counted(entries), "lists", files)
     scratch.drop("entries")
     asked = write(probes(lists), "asked", files)
