@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LINK_MOST = 0.35
+#: Most of a block that links may be, outside an article and inside.
+LINK_MOST, LINK_ARTICLE = 0.35, 0.8
 LENGTH_LOW, LENGTH_HIGH = 70, 200
 STOP_LOW, STOP_HIGH = 0.12, 0.22
 #: Inside an article less is asked for.
@@ -43,7 +45,14 @@ STOP_WORDS = set(
     "aber als am an auch auf aus bei bin bis das dass dem den der des die durch ein eine einem einen einer eines er es für hat ich ihr im in ist kann mit nach nicht noch nur oder sich sie sind so über um und uns von vor war was wie wir wird zu zum zur "
     "al como con de del el ella en entre era es esta este fue ha hay la las le lo los más mi muy no o para pero por que se ser si sin sobre son su sus también un una y ya él está".split()
 )
-_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(x for x in SILENT if x != 'head')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S | re.I)
+#: Silent elements whose content is no markup: without an end they last to that of the page.
+RAW = set("script style iframe textarea title noscript".split())
+#: Elements that items of a list of links stand in.
+ITEM = set("li dd dt td th option".split())
+#: Attributes up to the end of their tag. A quote opens a value only after an equals sign. No part is read twice.
+_ATTRIBUTES = r"""(?>[\s/]++|[^\s/>=][^\s/>=]*+(?:\s*+=\s*+(?>"[^"]*"|'[^']*'|[^\s>"'][^\s>]*+))?+|=)*+"""
+_TOKEN = re.compile(rf"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*+)({_ATTRIBUTES})(?:>|\Z)|[!?/][^>]*+(?:>|\Z))", re.S)
+_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for x in SILENT}
 _NAME = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=>/]|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none|visibility\s*:\s*hidden""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
@@ -56,6 +65,7 @@ class Block:
     linked: int  # characters in links
     section: int  # number of the framing or article element that it lies in
     kind: int  # of that element: 1 an article, -1 a frame, 0 neither
+    item: bool  # it is an item of a list
     label: int = 0  # 1 good, -1 bad, 0 open
 
 
@@ -71,6 +81,8 @@ def _kind(tag: str, attributes: str, now: int) -> int:
             for word in re.split(r"[\s_\-:]+", "".join(value)):
                 words.add(word.lower())
                 words.update(x.lower() for x in _PART.findall(word))
+        if now == 1:  # the head of an article is its own
+            words.discard("header")
         if tag not in ("html", "body", "article", "main") and tag not in ("h1", "h2", "p") and words & FRAME_WORDS and not (tag == "header" and now == 1):
             return -1
         if words & FRAME_WORDS and tag == "p":
@@ -81,16 +93,19 @@ def _kind(tag: str, attributes: str, now: int) -> int:
 
 
 def blocks(page: str) -> list[Block]:
+    """Each part of the page is looked at once, however its tags are closed or nested."""
     out: list[Block] = []
     text: list[str] = []
     open_elements: list[tuple[str, int, int]] = []  # tag, section and kind outside it
-    section, kind, sections, link, linked, at = 0, 0, 0, 0, 0, 0
+    opened: Counter = Counter()  # how often each tag is among them
+    endless: set[str] = set()  # silent elements that have no end from here on
+    section, kind, sections, link, linked, at, items = 0, 0, 0, 0, 0, 0, 0
 
     def flush() -> None:
         nonlocal linked
         joined = " ".join(html.unescape("".join(text)).split())
         if joined:
-            out.append(Block(joined, linked, section, kind))
+            out.append(Block(joined, linked, section, kind, items > 0))
         text.clear()
         linked = 0
 
@@ -101,72 +116,99 @@ def blocks(page: str) -> list[Block]:
             if link:
                 linked += len(x.strip())
 
-    for token in _TOKEN.finditer(page):
+    while token := _TOKEN.search(page, at):
         say(page[at : token.start()])
         at = token.end()
-        tag = (token[3] or "").lower()
+        tag, ends = (token[2] or "").lower(), bool(token[1])
         if not tag:
             continue
         if tag in BLOCK:
             flush()
+        if tag in _END and tag != "head":
+            if not ends and tag not in endless and not (tag in ("svg", "math") and token[3].endswith("/")):
+                if end := _END[tag].search(page, at):
+                    at = end.end()
+                elif tag in RAW:
+                    at = len(page)
+                else:
+                    endless.add(tag)
+            continue
         if tag == "a":
-            link = 0 if token[2] else 1
-        if token[2]:
-            for k in range(len(open_elements) - 1, -1, -1):
-                if open_elements[k][0] == tag:
-                    if open_elements[k][1:] != (section, kind):
-                        flush()
-                        section, kind = open_elements[k][1:]
-                    del open_elements[k:]
-                    break
-        elif tag not in VOID and not token[4].endswith("/") and (tag in BLOCK and tag != "p" or tag in ("span", "p")):
+            link = 0 if ends else 1
+        if ends:
+            if opened[tag]:
+                while True:
+                    name, *outside = open_elements.pop()
+                    opened[name] -= 1
+                    items -= name in ITEM
+                    if name == tag:
+                        break
+                if outside != [section, kind]:
+                    flush()
+                    section, kind = outside
+        elif tag not in VOID and not token[3].endswith("/") and (tag in BLOCK and tag != "p" or tag in ("span", "p")):
             if tag == "p" and open_elements and open_elements[-1][0] == "p":  # a paragraph ends where the next begins
                 section, kind = open_elements.pop()[1:]
-            if tag == "head":
-                flush()
+                opened["p"] -= 1
             open_elements.append((tag, section, kind))
-            told = -1 if tag == "head" else _kind(tag, token[4], kind)
+            opened[tag] += 1
+            items += tag in ITEM
+            told = -1 if tag == "head" else _kind(tag, token[3], kind)
             if told and not (kind == -1 and told == 1):
                 if told != kind:
                     flush()
                 sections += 1
                 section, kind = sections, told
-    say(page[at:] if not page[at:].startswith("<") or not re.match(r"<[a-zA-Z/!]", page[at:]) else "")
+    say(page[at:])
     flush()
     return out
 
 
+def _decide(b: Block) -> int:
+    """The first pass: 1 good, -1 bad, 0 open."""
+    words = _WORD.findall(b.text.lower())
+    stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    links = b.linked / max(1, len(b.text))
+    if b.kind == 1:
+        if links > LINK_ARTICLE:  # a list of links is none of the article's text, a paragraph that is a link may be
+            return -1 if b.item else 0
+        return 1 if len(b.text) >= LENGTH_LOW and stop >= STOP_ARTICLE or len(b.text) >= LENGTH_HIGH else 0
+    if b.kind == -1 or links > LINK_MOST or "©" in b.text:
+        return -1
+    if len(b.text) < LENGTH_LOW:
+        return -1 if links else 0
+    if stop >= STOP_HIGH and len(b.text) >= LENGTH_HIGH:
+        return 1
+    return -1 if stop < STOP_LOW else 0
+
+
+def _nearest(found: list[Block], places: range) -> list[int | None]:
+    """For each block the last decided one before it in the order of ``places``: of its own section if there is one. Lists of links inside an article say nothing of their neighbours."""
+    out: list[int | None] = [None] * len(found)
+    last, of_section = None, {}
+    for i in places:
+        out[i] = of_section.get(found[i].section, last)
+        if found[i].label and (found[i].kind, found[i].label) != (1, -1):
+            last = of_section[found[i].section] = i
+    return out
+
+
 def classify(found: list[Block]) -> None:
     for b in found:
-        words = _WORD.findall(b.text.lower())
-        stop = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-        links = b.linked / max(1, len(b.text))
-        if b.kind == -1 or links > (0.8 if b.kind == 1 else LINK_MOST) or "©" in b.text and b.kind != 1:
-            b.label = -1
-        elif b.kind == 1:
-            b.label = 1 if len(b.text) >= LENGTH_LOW and stop >= STOP_ARTICLE or len(b.text) >= LENGTH_HIGH else 0
-        elif len(b.text) < LENGTH_LOW:
-            b.label = -1 if links else 0
-        elif stop >= STOP_HIGH and len(b.text) >= LENGTH_HIGH:
-            b.label = 1
-        elif stop < STOP_LOW:
-            b.label = -1
-    decided = [b.label for b in found]
+        b.label = _decide(b)
+    sides = _nearest(found, range(len(found))), _nearest(found, range(len(found) - 1, -1, -1))
+    labels = [b.label for b in found]
     for i, b in enumerate(found):
-        if b.label == 0:
-            near: list[tuple[int, int, int]] = []  # outside its section, distance, label
-            for step, stop_at in ((-1, -1), (1, len(found))):
-                sides = [(found[j].section != b.section, abs(j - i), decided[j]) for j in range(i + step, stop_at, step) if decided[j]][:1]
-                same = next(((False, abs(j - i), decided[j]) for j in range(i + step, stop_at, step) if decided[j] and found[j].section == b.section), None)
-                near += [same] if same else sides
-            near.sort(key=lambda x: (x[0], x[1], -x[2]))
-            inside = [x for x in near if not x[0]]
-            if b.kind == 1:  # only the article's own blocks speak; alone, it is the article
-                b.label = inside[0][2] if inside else 1
-            elif not near:  # a page without decided blocks: its longer ones are its text
-                b.label = 1 if len(b.text) >= LENGTH_LOW else -1
-            else:
-                b.label = 1 if (all(x[2] == 1 for x in near) or bool(inside) and inside[0][2] == 1) else -1
+        if labels[i]:
+            continue
+        near = sorted((found[j].section != b.section, abs(j - i), -labels[j]) for j in (sides[0][i], sides[1][i]) if j is not None)
+        inside = near and not near[0][0]
+        if b.kind == 1:  # only the article's own blocks speak; alone, it is the article
+            b.label = -near[0][2] if inside else 1
+        elif not near:  # a page without decided blocks: its longer ones are its text
+            b.label = 1 if len(b.text) >= LENGTH_LOW else -1
+        else:
+            b.label = 1 if all(x[2] == -1 for x in near) or inside and near[0][2] == -1 else -1
 
 
 def main_text(page: str | None) -> str:
