@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 
 from strandframe.options import QueryOptions
 
-SCHEMA = "record_idx long, qname string, contig string, ref_pos int, strand string, read_pos int, mod_code string, ml int, ins_offset int, haplotype int, is_skipped boolean, read_base string, any_base boolean, sought string, grp int, place int"
-ARROW = pa.schema([("record_idx", pa.int64()), ("qname", pa.string()), ("contig", pa.string()), ("ref_pos", pa.int32()), ("strand", pa.string()), ("read_pos", pa.int32()), ("mod_code", pa.string()), ("ml", pa.int32()), ("ins_offset", pa.int32()), ("haplotype", pa.int32()), ("is_skipped", pa.bool_()), ("read_base", pa.string()), ("any_base", pa.bool_()), ("sought", pa.string()), ("grp", pa.int32()), ("place", pa.int32())])
+SCHEMA = "record_idx long, qname string, contig string, ref_pos int, strand string, read_pos int, mod_code string, ml int, ins_offset int, haplotype int, is_skipped boolean, read_base string, any_base boolean, sought string, grp int, place int, unless_base boolean"
+ARROW = pa.schema([("record_idx", pa.int64()), ("qname", pa.string()), ("contig", pa.string()), ("ref_pos", pa.int32()), ("strand", pa.string()), ("read_pos", pa.int32()), ("mod_code", pa.string()), ("ml", pa.int32()), ("ins_offset", pa.int32()), ("haplotype", pa.int32()), ("is_skipped", pa.bool_()), ("read_base", pa.string()), ("any_base", pa.bool_()), ("sought", pa.string()), ("grp", pa.int32()), ("place", pa.int32()), ("unless_base", pa.bool_())])
 COLUMNS = ["record_idx", "qname", "flag", "contig", "pos", "cigar", "seq", "mm", "ml", "hp"]
+#: Columns that are checked if they are there: lengths of the contig by the reference and by the header of the alignments.
+CHECKED = ["ref_len", "contig_len"]
 _OP = re.compile(r"(\d+)([A-Za-z=])")
 _GROUP = re.compile(r"([ACGTUNacgtun])([+-])([A-Za-z]+|[0-9]+)([.?]?)((?:,[0-9]{1,9})*)")
 _COMPLEMENT = str.maketrans("ACGTN", "TGCAN")
@@ -67,21 +69,66 @@ def lookups(codes: str, split: bool = False) -> list[str]:
     return [codes] if codes.isdigit() else list(codes) if split else [codes[m:] for m in range(len(codes))]
 
 
-def decode(record: dict, options: QueryOptions) -> list[tuple]:
-    """(ref_pos, read_pos, code, ml, ins_offset, skipped, base, any_base, sought, grp, place) arrays for each group and code of one record."""
+def ranked_bases(seq: str, letters: np.ndarray, base: str, reverse: bool) -> np.ndarray:
+    """The bases of SEQ that a group counts, in the order in which it counts them."""
+    target = base.translate(_COMPLEMENT) if reverse else base
+    ranked = np.arange(len(seq)) if base == "N" else np.flatnonzero(letters == ord(target))
+    return ranked[::-1] if reverse else ranked
+
+
+def stated_ranks(skips: list[int], ranked: np.ndarray, base: str, qname: str) -> np.ndarray:
+    ranks = np.cumsum(np.array(skips, np.int64) + 1) - 1
+    if len(ranks) and ranks[-1] >= len(ranked):
+        raise ValueError(f"read {qname}: MM names base {ranks[-1] + 1} of {len(ranked)} of {base}")
+    return ranks
+
+
+class _Seen:
+    """Which bases of a read a code has been given for: so that each gets the first of its calls.
+
+    A group of base N calls a base whatever the reference has, others only if it has the same. So a call of N that comes second
+    counts where the base is not that of the reference, and only there, unless no call is held against it.
+    """
+
+    def __init__(self, length: int) -> None:
+        self.length = length
+        self.of: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def first(self, key: str, at: np.ndarray, any_base: bool, tested: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these calls are first, and which of those are so unless the base is that of the reference."""
+        if key not in self.of:
+            self.of[key] = np.zeros(self.length, bool), np.zeros(self.length, bool)
+        by_base, by_any = self.of[key]
+        second = by_base[at]
+        new = ~by_any[at] & (~second if not (any_base and tested) else True)
+        (by_any if any_base else by_base)[at] = True
+        return new, second
+
+
+def check_contig(record: dict, end: int) -> None:
+    """The contig of a record is in the reference, as long as the header says, and not shorter than the alignment."""
+    if "ref_len" in record:
+        size, named = record["ref_len"], record.get("contig_len")
+        if size is None:
+            raise ValueError(f"read {record['qname']}: the reference lacks contig {record['contig'] or '*'}")
+        if named is not None and named != size:
+            raise ValueError(f"contig {record['contig']} has {size} bases, by the header of the alignments {named}")
+        if end >= size:
+            raise ValueError(f"read {record['qname']}: the reference lacks position {end} of {record['contig']}")
+
+
+def decode(record: dict, options: QueryOptions, first: bool = False) -> list[tuple]:
+    """(ref_pos, read_pos, code, ml, ins_offset, skipped, base, any_base, sought, grp, place, unless_base) arrays for each group and code of one record. With ``first`` only the first call of a code at a place: by group, stated before skipped."""
     seq, reverse = record["seq"], bool(record["flag"] & 16)
     places, offsets = reference_positions(record["cigar"] or "", record["pos"], len(seq), options.insertions)
+    check_contig(record, int(places.max(initial=-1)))
     letters, ml = np.frombuffer(seq.encode(), np.uint8), record["ml"]
-    sought = options.sought()
+    sought, seen = options.sought(), _Seen(len(seq))
     out, start = [], 0
     for g, (base, codes, flag, skips) in enumerate(groups(record["mm"])):
         keys = lookups(codes, options.split_codes)
-        target = base.translate(_COMPLEMENT) if reverse else base
-        ranked = np.arange(len(seq)) if base == "N" else np.flatnonzero(letters == ord(target))
-        ranked = ranked[::-1] if reverse else ranked
-        ranks = np.cumsum(np.array(skips, np.int64) + 1) - 1
-        if len(ranks) and ranks[-1] >= len(ranked):
-            raise ValueError(f"read {record['qname']}: MM names base {ranks[-1] + 1} of {len(ranked)} of {base}")
+        ranked = ranked_bases(seq, letters, base, reverse)
+        ranks = stated_ranks(skips, ranked, base, record["qname"])
         stated = [(ranked[ranks], np.arange(len(ranks)), False)]
         if flag == ".":
             rest = np.ones(len(ranked), bool)
@@ -101,14 +148,52 @@ def decode(record: dict, options: QueryOptions) -> list[tuple]:
                     if ml is None or index[-1] >= len(ml):
                         raise ValueError(f"read {record['qname']}: ML has no value {index[-1]}")
                     values = np.asarray(ml)[index]
-                read_pos = len(seq) - 1 - at if reverse else at
-                out.append((places[at], read_pos, key, values, offsets[at], skipped, letters[at], base == "N", wanted, g, np.arange(len(at)) * len(keys) + m))
+                mine, unless = at, np.zeros(len(at), bool)
+                number = np.arange(len(at)) * len(keys) + m
+                if first:
+                    new, second = seen.first(key, at, base == "N", not options.insertions and sought[wanted].context != "*")
+                    mine, values, number, unless = mine[new], values[new], number[new], second[new]
+                read_pos = len(seq) - 1 - mine if reverse else mine
+                out.append((places[mine], read_pos, key, values, offsets[mine], skipped, letters[mine], base == "N", wanted, g, number, unless))
         start += len(skips) * len(keys)
     return out
 
 
-def decode_calls(reads: DataFrame, options: QueryOptions) -> DataFrame:
-    """All calls of requested codes at placed bases, not yet held against the reference. Columns as in SCHEMA."""
+def _records(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The rows of a batch; the values of ML, which may be many, stay in arrays."""
+    plain = [name for name in batch.schema.names if name != "ml"]
+    ml = batch.column("ml")
+    values, ends = ml.values.to_numpy(zero_copy_only=False), ml.offsets.to_numpy()
+    known = ml.is_valid().to_numpy(zero_copy_only=False)
+    for i, row in enumerate(zip(*(batch.column(name).to_pylist() for name in plain), strict=True)):
+        yield dict(zip(plain, row, strict=True)) | {"ml": values[ends[i] : ends[i + 1]] if known[i] else None}
+
+
+def skipped_bases(reads: DataFrame) -> DataFrame:
+    """(record_idx, grp, rank, rp): of groups that state all their bases (flag ``.``), those not listed: unmodified. One pass over each read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts: list[tuple[int, int, np.ndarray, np.ndarray]] = []
+            rows = zip(*(c.to_pylist() for c in batch.columns), strict=True)
+            for record, qname, flag, seq, mm in rows:
+                letters = np.frombuffer(seq.encode(), np.uint8)
+                for g, (base, _, kind, skips) in enumerate(groups(mm)):
+                    if kind == ".":
+                        ranked = ranked_bases(seq, letters, base, bool(flag & 16))
+                        rest = np.ones(len(ranked), bool)
+                        rest[stated_ranks(skips, ranked, base, qname)] = False
+                        parts.append((record, g, np.flatnonzero(rest), ranked[rest]))
+            if parts:
+                sizes = [len(p[2]) for p in parts]
+                each = [np.repeat([p[0] for p in parts], sizes), np.repeat([p[1] for p in parts], sizes).astype(np.int32), *(np.concatenate([p[k] for p in parts]).astype(np.int32) for k in (2, 3))]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in each], names=["record_idx", "grp", "rank", "rp"])
+
+    return reads.select("record_idx", "qname", "flag", "seq", "mm").mapInArrow(run, "record_idx long, grp int, rank int, rp int")
+
+
+def decode_calls(reads: DataFrame, options: QueryOptions, first: bool = False) -> DataFrame:
+    """All calls of requested codes at placed bases (or of each code at each place the first), not yet held against the reference. Columns as in SCHEMA."""
     letters = pa.array([chr(i) for i in range(128)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,15 +205,15 @@ def decode_calls(reads: DataFrame, options: QueryOptions) -> DataFrame:
             each = lambda k, kind=np.int32: pa.array(np.concatenate([p[k] for p in parts]).astype(kind))
             of = lambda name: batch.column(name).take(pa.array(row))
             by_row = lambda values, kind: pa.array(values, kind).take(pa.array(row))
-            columns = [of("record_idx"), of("qname"), of("contig"), each(0), by_row(strands, pa.string()), each(1), same(2, pa.string()), each(3), each(4), by_row(haplotypes, pa.int32()), same(5, pa.bool_()), letters.take(each(6)), same(7, pa.bool_()), same(8, pa.string()), same(9, pa.int32()), each(10)]
+            columns = [of("record_idx"), of("qname"), of("contig"), each(0), by_row(strands, pa.string()), each(1), same(2, pa.string()), each(3), each(4), by_row(haplotypes, pa.int32()), same(5, pa.bool_()), letters.take(each(6)), same(7, pa.bool_()), same(8, pa.string()), same(9, pa.int32()), each(10), each(11, bool)]
             return pa.RecordBatch.from_arrays(columns, schema=ARROW)
 
         for batch in batches:
             parts, rows, haplotypes, strands, held = [], [], [], [], 0
-            for i, record in enumerate(batch.to_pylist()):
+            for i, record in enumerate(_records(batch)):
                 strands.append("-" if record["flag"] & 16 else "+")
                 haplotypes.append((record["hp"] or 0) & 255)
-                found = decode(record, options)
+                found = decode(record, options, first)
                 parts += found
                 rows += [i] * len(found)
                 held += sum(len(p[0]) for p in found)
@@ -138,4 +223,4 @@ def decode_calls(reads: DataFrame, options: QueryOptions) -> DataFrame:
             if parts:
                 yield made(batch, parts, rows, haplotypes, strands)
 
-    return reads.select(*COLUMNS).mapInArrow(run, SCHEMA)
+    return reads.select(*COLUMNS, *[c for c in CHECKED if c in reads.columns]).mapInArrow(run, SCHEMA)

@@ -11,6 +11,8 @@ from strandframe.options import ModCode, QueryOptions
 CHUNK = 1 << 16
 #: A reference of at most this many bases is sent to all executors; a larger one is joined by chunk.
 BROADCAST_MOST = 32 << 20
+#: Contigs whose lengths are sent to all executors, at most.
+CONTIGS_MOST = 500_000
 
 
 def chunks(reference: DataFrame, pad: int, size: int = CHUNK) -> DataFrame:
@@ -44,11 +46,19 @@ def context_sites(reference: DataFrame, code: ModCode, reverse: bool = False) ->
     return positions.filter(in_context(window, F.lit(pattern))).select("contig", "ref_pos")
 
 
+def with_lengths(reads: DataFrame, reference: DataFrame, contigs: int) -> DataFrame:
+    """Adds ref_len, the length of the read's contig by the reference: null if it lacks that. The kernel makes an error of it, whatever is asked for."""
+    lengths = reference.select(F.col("contig").alias("ref_contig"), F.length("seq").alias("ref_len"))
+    if contigs <= CONTIGS_MOST:
+        lengths = F.broadcast(lengths)
+    return reads.join(lengths, F.col("contig") == F.col("ref_contig"), "left").drop("ref_contig")
+
+
 def at_reference(calls: DataFrame, reference: DataFrame, options: QueryOptions, bases: int | None = None) -> DataFrame:
     """Calls that are in the context of their code and whose base is that of the reference.
 
-    With insertions, no call is tested. Calls on a contig that the reference lacks are an error. ``bases``: how
-    many the reference has, if known; else they are counted, to choose between sending it and joining by chunk.
+    With insertions, no call is tested. ``bases``: how many the reference has, if known; else they are counted, to
+    choose between sending it and joining by chunk.
     """
     if options.insertions:
         return calls
@@ -70,6 +80,7 @@ def at_reference(calls: DataFrame, reference: DataFrame, options: QueryOptions,
         begin = F.greatest(place - m + 1, F.lit(0))
         window = F.substring(seq, begin + 1, place + m - begin)
         pattern = F.when(F.col("strand") == "-", c.reverse_context).otherwise(c.context)
-        inside = F.lit(True) if c.context == "*" else in_context(window, pattern) & (F.col("any_base") | (F.substring(seq, place + 1, F.lit(1)) == F.col("read_base")))
+        same = F.substring(seq, place + 1, F.lit(1)) == F.col("read_base")
+        inside = F.lit(True) if c.context == "*" else in_context(window, pattern) & F.when(F.col("unless_base"), ~same).otherwise(F.col("any_base") | same)
         ok = F.when(F.col("sought") == c.code, inside).otherwise(ok)
     return met.filter(ok).select(*calls.columns)

@@ -53,7 +53,7 @@ def observed(reads: DataFrame, name: str = "reads", **flags: bool) -> tuple[Data
 
 def check_skipped(total: int, processed: int, strict: bool = False) -> str | None:
     """A warning if over 90 % of the records were skipped; with ``strict`` an error if all were."""
-    if total and total == processed + total and strict:
+    if total and not processed and strict:
         raise ValueError("all records were skipped")
     if total and total - processed > 0.9 * total:
         log.warning("%d of %d records were skipped", total - processed, total)

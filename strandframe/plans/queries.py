@@ -7,22 +7,23 @@ from pyspark.sql import functions as F
 
 from strandframe.functions.scalars import probability, summary_entry
 from strandframe.operators.calls import decode_calls
-from strandframe.operators.context import at_reference
+from strandframe.operators.context import at_reference, with_lengths
 from strandframe.operators.reads import filter_reads
-from strandframe.operators.sites import first_calls, site_counts
+from strandframe.operators.sites import site_counts
 from strandframe.options import QueryOptions
 
 
-def calls(reads: DataFrame, reference: DataFrame | None, options: QueryOptions) -> DataFrame:
-    """Scan, filter, decode, join with the reference: narrow up to here if the reference is small."""
-    kept = filter_reads(reads, options.allow_secondary, options.skip_supplementary)
-    return at_reference(decode_calls(kept, options), reference, options)
+def calls(reads: DataFrame, reference: DataFrame, options: QueryOptions, first: bool = False) -> DataFrame:
+    """Scan, filter, decode, join with the reference: narrow up to here if the reference is small. With ``first`` of each read's calls of a code at a place only the first."""
+    contigs, bases = reference.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
+    kept = with_lengths(filter_reads(reads, options.allow_secondary, options.skip_supplementary), reference, contigs)
+    return at_reference(decode_calls(kept, options, first), reference, options, bases)
 
 
-def view(reads: DataFrame, reference: DataFrame | None, options: QueryOptions | None = None) -> DataFrame:
-    """One row for each modification call on each placed base of each read."""
+def view(reads: DataFrame, reference: DataFrame, options: QueryOptions | None = None) -> DataFrame:
+    """One row for each modification call on each placed base of each read. No shuffle: a read's first calls are told while it is decoded."""
     options = options or QueryOptions()
-    rows = first_calls(calls(reads, reference, options), options.haplotypes)
+    rows = calls(reads, reference, options, first=True)
     more = [*(["ins_offset"] if options.insertions else []), *(["haplotype"] if options.haplotypes else [])]
     return rows.select("record_idx", F.col("contig").alias("ref_contig"), "ref_pos", "strand", F.col("qname").alias("read_id"), "read_pos", "mod_code", probability(F.col("ml")).alias("mod_prob"), *more)
 
@@ -33,7 +34,7 @@ def in_view_order(rows: DataFrame) -> DataFrame:
     return rows.orderBy("record_idx", "ref_contig", "ref_pos", "strand", "mod_code", *more)
 
 
-def freq(reads: DataFrame, reference: DataFrame | None, options: QueryOptions | None = None) -> DataFrame:
+def freq(reads: DataFrame, reference: DataFrame, options: QueryOptions | None = None) -> DataFrame:
     """One row for each site and code with counts over all reads."""
     options = options or QueryOptions()
     return site_counts(calls(reads, reference, options), options)

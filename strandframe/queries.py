@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.operators import compare, context, reads, relational
+from strandframe.operators import calls, compare, context, reads, relational
 from strandframe.options import ModCode, QueryOptions, parse_codes, with_thresholds
 from strandframe.plans import queries as plans
 from strandframe.synth import ctes, reads_and_reference
@@ -210,7 +210,7 @@ def queries() -> dict[str, Query]:
         "mm_call_rank": _of_reads(relational.mm_calls),
         "ml_lookup": _of_reads(relational.ml_values),
         "called_bases": _of_reads(relational.called_bases),
-        "skipped_bases": _of_reads(relational.skipped_bases),
+        "skipped_bases": _of_reads(calls.skipped_bases),
         "context_sites_fwd": _sites(ModCode("x", "ACG"), False),
         "context_sites_rev": _sites(ModCode("x", "ACG"), True),
     }

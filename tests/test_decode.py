@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandframe.operators import relational
-from strandframe.operators.calls import decode, decode_calls
+from strandframe.operators.calls import decode, decode_calls, skipped_bases
 from strandframe.operators.context import at_reference, context_sites
+from strandframe.operators.sites import first_calls
 from strandframe.options import ModCode, QueryOptions, parse_codes, parse_size, with_thresholds
 from strandframe.plans import queries as plans
 from strandframe.sinks import text as sinks
@@ -147,6 +148,33 @@ def test_view_and_freq(frames, reads, codes, insertions):
     assert {(r.contig, r.start, r.strand, r.mod_code, r.asDict().get("ins_offset", 0), r.haplotype): [r.n_called, r.n_mod] for r in got} == counts and len(got) == len(counts)
 
 
+def test_first_calls_of_kernel_and_relation(frames, reads):
+    """Groups of N before and after others of the same code, so that the reference decides which call is first."""
+    seqs = {r["record_idx"]: r for r in reads}
+    mm = ["N+m?,0,0,0;C+m?,0;", "C+m?,0;N+m.,1,0;", "C+m.,0;N+m?,0,0,0;C+m?,0;", "A+m?,0;N+m.;"]
+    rows = [r | {"mm": mm[i % 4], "ml": list(range(1, 9))} for i, r in seqs.items() if {*"ACGT"} <= set(r["seq"]) and len(r["seq"]) > 5]
+    table = frames[0].sparkSession.createDataFrame(rows, SCHEMA)
+    for codes in ("m[C]", "m[N]", "m[*]", "m[A]", "*[G]"):
+        o = QueryOptions(tuple(parse_codes(codes)))
+        want = first_calls(plans.calls(table, frames[1], o)).select("record_idx", "ref_pos", "mod_code", "read_pos", "ml", "is_skipped")
+        got = plans.calls(table, frames[1], o, first=True).select(*want.columns)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and (codes == "m[N]" or want.count() > 20)
+
+
+def test_reference_must_have_what_reads_name(frames):
+    table, reference = frames[0].filter("mm is not null").withColumn("contig_len", F.lit(400)), frames[1]
+    for o in (QueryOptions(), QueryOptions(tuple(parse_codes("*"))), QueryOptions(insertions=True)):
+        for reads_, contigs in ((frames[0], reference.filter("contig = 'c1'")), (frames[0], reference.withColumn("seq", F.substring("seq", 1, 30))), (table, reference)):
+            with pytest.raises(Exception, match="reference lacks|by the header"):
+                plans.view(reads_, contigs, o).collect()
+
+
+def test_skipped_bases_of_kernel_and_relation(frames):
+    plain = frames[0].filter("(flag & 260) = 0 and mm is not null")
+    got, want = (sorted(map(tuple, f(plain).collect())) for f in (skipped_bases, relational.skipped_bases))
+    assert got == want and len(got) > 100
+
+
 def test_chunk_join_equals_broadcast(frames, monkeypatch):
     o = QueryOptions(tuple(parse_codes("m[ACG],a")))
     whole = sorted(map(tuple, plans.calls(*frames, o).collect()), key=repr)
