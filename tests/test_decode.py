@@ -263,6 +263,29 @@ def test_sources_and_command(spark, reads, tmp_path, capsys):
     assert all(len(x.split("\t")) == 11 for x in capsys.readouterr().out.splitlines())
 
 
+def test_bam_splits(spark, reads, tmp_path):
+    """The same records from one split and from many, in input order; two files never share numbers; long CIGARs."""
+    import gzip
+
+    one, two = reads[:300], [r | {"qname": r["qname"] + "'"} for r in reads[300:]]
+    longest = max(len(x) for x in GENOME.values())
+    for folder, block, most in (("a", 700, 1 << 16), ("b", 97, 4), ("c", 60_000, 2)):
+        (tmp_path / folder).mkdir()
+        for name, rows in (("x.bam", one), ("y.bam", two)):
+            (tmp_path / folder / name).write_bytes(alignments.to_bam(rows, {c: len(s) for c, s in GENOME.items()}, block, most))
+        want = [(r["qname"], r["pos"], r["cigar"], r["seq"], r["mm"], r["ml"] or None, r["hp"]) for r in one + two]
+        for split in (1 << 20, 4001, 977):
+            got = alignments.read_bam(spark, str(tmp_path / folder), split).orderBy("record_idx").collect()
+            assert [(r.qname, r.pos, r.cigar, r.seq, r.mm, r.ml, r.hp) for r in got] == want, (folder, split)
+            assert len({r.record_idx for r in got}) == len(want) and {r.contig_len for r in got} <= {None, 300, longest}
+    data = (tmp_path / "a/x.bam").read_bytes()
+    (tmp_path / "plain.bam").write_bytes(gzip.compress(gzip.decompress(data)))
+    assert alignments.read_bam(spark, str(tmp_path / "plain.bam"), 977).count() == 300
+    (tmp_path / "cut.bam").write_bytes(data[: len(data) // 2])
+    with pytest.raises(Exception, match="cut off"):
+        alignments.read_bam(spark, str(tmp_path / "cut.bam")).collect()
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "a.bedmethyl").write_text("c1\t5\t6\tm\t10\t+\t5\t6\t255,0,0\t10\t50.000000\n")
     (tmp_path / "r.bed").write_text("c1\t2\t6\nc2\t0\t9\n")
