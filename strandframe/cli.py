@@ -15,7 +15,7 @@ from strandframe.options import QueryOptions, parse_codes, parse_size, warn_untr
 from strandframe.plans import queries as plans
 from strandframe.sinks import text as sinks
 from strandframe.sources.alignments import read_alignments
-from strandframe.sources.references import read_reference
+from strandframe.sources.references import read_reference_chunks
 
 log = logging.getLogger("strandframe")
 LEVELS = [logging.CRITICAL + 10, logging.CRITICAL, logging.ERROR, logging.WARNING, logging.INFO, logging.DEBUG, logging.NOTSET + 1]
@@ -69,7 +69,7 @@ def lines(spark: SparkSession, a: argparse.Namespace) -> tuple[str | None, DataF
     check_skipped(seen.total_reads, seen.processed_reads, a.strict)
     if a.command == "summary":
         return sinks.summary_lines(plans.summary(reads, a.allow_secondary, a.skip_supplementary).orderBy("record_idx"))
-    reference = read_reference(spark, a.reference)
+    reference = read_reference_chunks(spark, a.reference, pad=max(len(c.context) for c in options.sought().values()))
     if a.command == "view":
         return sinks.view_lines(plans.in_view_order(plans.view(reads, reference, options)))
     rows = plans.in_freq_order(plans.freq(reads, reference, options))

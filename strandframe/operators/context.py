@@ -15,8 +15,21 @@ BROADCAST_MOST = 32 << 20
 CONTIGS_MOST = 500_000
 
 
+def chunked(reference: DataFrame) -> bool:
+    return "ref_offset" in reference.columns
+
+
+def contig_lengths(reference: DataFrame) -> DataFrame:
+    """(ref_contig, ref_len)."""
+    if chunked(reference):
+        return reference.filter("ref_chunk = 0").select(F.col("contig").alias("ref_contig"), "ref_len")
+    return reference.select(F.col("contig").alias("ref_contig"), F.length("seq").alias("ref_len"))
+
+
 def chunks(reference: DataFrame, pad: int, size: int = CHUNK) -> DataFrame:
-    """(contig, chunk, seq, offset): pieces of each contig with ``pad`` bases of their neighbours; offset is the position of the first base."""
+    """(contig, chunk, offset, seq): pieces of each contig with ``pad`` bases of their neighbours; offset is the position of the first base. A reference that comes in chunks, as of ``read_reference_chunks``, stays as it is."""
+    if chunked(reference):
+        return reference.select(F.col("contig").alias("ref_contig"), "ref_chunk", "ref_offset", F.col("seq").alias("ref_seq"))
     count = F.greatest(F.ceil(F.length("seq") / size), F.lit(1)).cast("int")
     rows = reference.select("contig", F.col("seq").alias("whole"), F.explode(F.sequence(F.lit(0), count - 1)).alias("chunk"))
     offset = F.greatest(F.col("chunk") * size - pad, F.lit(0))
@@ -48,7 +61,7 @@ def context_sites(reference: DataFrame, code: ModCode, reverse: bool = False) ->
 
 def with_lengths(reads: DataFrame, reference: DataFrame, contigs: int) -> DataFrame:
     """Adds ref_len, the length of the read's contig by the reference: null if it lacks that. The kernel makes an error of it, whatever is asked for."""
-    lengths = reference.select(F.col("contig").alias("ref_contig"), F.length("seq").alias("ref_len"))
+    lengths = contig_lengths(reference)
     if contigs <= CONTIGS_MOST:
         lengths = F.broadcast(lengths)
     return reads.join(lengths, F.col("contig") == F.col("ref_contig"), "left").drop("ref_contig")
@@ -68,7 +81,7 @@ def at_reference(calls: DataFrame, reference: DataFrame, options: QueryOptions,
     pad = max(len(c.context) for c in codes)
     pieces = chunks(reference, pad, CHUNK)
     if bases is None:
-        bases = reference.agg(F.sum(F.length("seq"))).first()[0] or 0
+        bases = contig_lengths(reference).agg(F.sum("ref_len")).first()[0] or 0
     if bases <= BROADCAST_MOST:
         pieces = F.broadcast(pieces)
     met = calls.withColumn("chunk", F.floor(F.col("ref_pos") / CHUNK).cast("int")).join(pieces, (F.col("contig") == F.col("ref_contig")) & (F.col("chunk") == F.col("ref_chunk")), "left")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandframe.functions.scalars import probability, summary_entry
 from strandframe.operators.calls import decode_calls
-from strandframe.operators.context import at_reference, with_lengths
+from strandframe.operators.context import at_reference, contig_lengths, with_lengths
 from strandframe.operators.reads import filter_reads
 from strandframe.operators.sites import site_counts
 from strandframe.options import QueryOptions
@@ -15,7 +15,7 @@ from strandframe.options import QueryOptions
 
 def calls(reads: DataFrame, reference: DataFrame, options: QueryOptions, first: bool = False) -> DataFrame:
     """Scan, filter, decode, join with the reference: narrow up to here if the reference is small. With ``first`` of each read's calls of a code at a place only the first."""
-    contigs, bases = reference.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("seq")), F.lit(0))).first()
+    contigs, bases = contig_lengths(reference).agg(F.count(F.lit(1)), F.coalesce(F.sum("ref_len"), F.lit(0))).first()
     kept = with_lengths(filter_reads(reads, options.allow_secondary, options.skip_supplementary), reference, contigs)
     return at_reference(decode_calls(kept, options, first), reference, options, bases)
 

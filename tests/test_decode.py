@@ -286,6 +286,38 @@ def test_bam_splits(spark, reads, tmp_path):
         alignments.read_bam(spark, str(tmp_path / "cut.bam")).collect()
 
 
+def test_reference_chunks(spark, frames, tmp_path):
+    """Chunks of any split are those of the whole text; FASTQ and gzip; the last of a repeated contig stays."""
+    import gzip
+
+    rng = random.Random(8)
+    contigs = {f"k{i}": "".join(rng.choices("ACGTN", k=rng.choice([0, 1, 63, 64, 65, 128, 500, 1000]))) for i in range(14)}
+    text = ">k3 old one\nACGU\n" + "".join(f">{k} about {k}\n" + "".join(s[j : j + 37].lower().replace("t", rng.choice("tu")) + rng.choice(["\n", "\r\n"]) for j in range(0, len(s), 37)) + rng.choice(["", "\n"]) for k, s in contigs.items())
+    (tmp_path / "r.fa").write_text(text)
+    (tmp_path / "r.fa.gz").write_bytes(gzip.compress(text[:300].encode()) + gzip.compress(text[300:].encode()))
+    (tmp_path / "r.fq").write_text("".join(f"@{k} x\n{s[:40]}\n{s[40:]}\n+\n{'@' * len(s[:40])}\n{'>' * len(s[40:])}\n" for k, s in contigs.items() if len(s) > 40))
+    (tmp_path / "line.fa").write_text(">one\n" + contigs["k0"] * 40 + "\n>two\n" + "acgt")
+    want = {(k, len(s), c, max(0, c * 64 - 9), s[max(0, c * 64 - 9) : c * 64 + 73]) for k, s in contigs.items() for c in range(max(1, -(-len(s) // 64)))}
+    for name, splits in (("r.fa", (1 << 20, 777, 100, 11)), ("r.fa.gz", (50,))):
+        for split in splits:
+            got = references.read_reference_chunks(spark, str(tmp_path / name), 9, 64, split).collect()
+            assert len(got) == len(want) and {tuple(r) for r in got} == want, (name, split)
+    assert dict(map(tuple, references.read_reference(spark, str(tmp_path / "r.fq")).collect())) == {k: s for k, s in contigs.items() if len(s) > 40}
+    got = references.read_reference_chunks(spark, str(tmp_path / "line.fa"), 0, 64, 333).orderBy("contig", "ref_chunk").collect()
+    assert "".join(r.seq for r in got) == contigs["k0"] * 40 + "ACGT"
+
+
+def test_query_on_chunks_of_files(spark, frames, reads, tmp_path):
+    """Contigs in chunks, joined by key, give what whole contigs give that are sent."""
+    (tmp_path / "ref.fa").write_text("".join(f">{k}\n{v[:70]}\n{v[70:]}\n" for k, v in GENOME.items()))
+    o = QueryOptions(tuple(parse_codes("m[ACG],a")))
+    pieces = references.read_reference_chunks(spark, str(tmp_path / "ref.fa"), 3)
+    want = sorted(map(tuple, plans.calls(*frames, o).collect()), key=repr)
+    assert sorted(map(tuple, plans.calls(frames[0], pieces, o).collect()), key=repr) == want
+    kept_ = frames[0].filter("(flag & 260) = 0 and mm is not null")
+    assert sorted(map(tuple, at_reference(decode_calls(kept_, o), pieces, o, bases=1 << 40).collect()), key=repr) == want
+
+
 def test_text_tables(spark, tmp_path):
     (tmp_path / "a.bedmethyl").write_text("c1\t5\t6\tm\t10\t+\t5\t6\t255,0,0\t10\t50.000000\n")
     (tmp_path / "r.bed").write_text("c1\t2\t6\nc2\t0\t9\n")
