@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandframe.llm.bpe import encode, encoding
-from strandframe.llm.common import checkpointed
+from strandframe.llm.common import checkpointed, partitions
 
-PACK, SALTS, HOT_MOST = 128, 16, 100_000
+PACK, HOT_MOST = 128, 100_000
 #: Head and tail of a turn's text by role; other roles are named.
 TEMPLATE = {"system": ("<<SYS>>\n", "\n<</SYS>>\n"), "user": ("[INST] ", " [/INST]"), "assistant": (" ", "</s>")}
 NODE = "array<struct<start:int,stop:int,position:int,loss_start:int,loss_stop:int,attends:array<struct<start:int,stop:int>>>>"
@@ -110,7 +110,9 @@ def build_pack(pack: int, contents: list[str], conversations: list[list[tuple[st
 
 def format_packs(listed: DataFrame, path: str, pattern: str) -> DataFrame:
     """The packs of the conversations that ``paths`` lists: pack, input_ids, position_ids, nodes, leaves."""
-    distinct = checkpointed(listed.groupBy("content").agg(F.first("first").alias("first"), F.first("turns").alias("turns")))
+    # Only ids meet by content, which many conversations may have; turns meet by the ids that are chosen.
+    chosen = listed.groupBy("content").agg(F.min(F.struct("conv_id")).alias("of")).select(F.col("of.conv_id").alias("of"))
+    distinct = checkpointed(listed.join(chosen, F.col("conv_id").eqNullSafe(F.col("of")), "left_semi").select("content", "first", "turns"))
     n = distinct.count()
     counts = distinct.groupBy("first").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > PACK)
     # A hot first turn has over PACK conversations, so there are at most n / PACK of them; few enough are sent to all.
@@ -163,12 +165,14 @@ def read_back(packs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def formatted_digests(conversations: DataFrame, path: str, pattern: str) -> DataFrame:
-    """The digests of each conversation, read back from the packs; many conversations may have one content, so it is dealt out in copies."""
+    """The digests of each conversation, read back from the packs. Contents that many conversations have are few, and are sent to these."""
     listed = checkpointed(paths(conversations))
-    digests = read_back(format_packs(listed, path, pattern), path, pattern)
-    digests = digests.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    members = listed.select("conv_id", "content", F.pmod(F.hash("conv_id"), F.lit(SALTS)).alias("salt"))
-    return members.join(digests, ["content", "salt"]).drop("content", "salt")
+    digests = checkpointed(read_back(format_packs(listed, path, pattern), path, pattern))
+    members, often = listed.select("conv_id", "content"), 2 * partitions(conversations)
+    hot = members.groupBy("content").count().filter(F.col("count") * often > listed.count()).select("content")
+    hot = F.broadcast(checkpointed(digests.join(F.broadcast(hot), "content")))  # fewer than ``often`` rows
+    rest = members.join(hot.select("content"), "content", "left_anti").join(digests, "content")
+    return members.join(hot, "content").unionByName(rest).drop("content")
 
 
 ORACLE = """

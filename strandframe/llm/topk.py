@@ -85,7 +85,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
     dealt = lambda into: F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(into)).cast("int")
     every = lambda count: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))
     held = candidates.withColumn("block", dealt(blocks)).withColumn("lot", every(lots))
-    asked = queries.withColumn("lot", dealt(lots)).withColumn("block", every(blocks))
+    asked = queries.withColumn("number", F.monotonically_increasing_id()).withColumn("lot", dealt(lots)).withColumn("block", every(blocks))
     limit = 2**63
 
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
@@ -93,18 +93,19 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = 5) -> DataFrame:
         if len(q) and len(c):
             width = max(int(pc.max(pc.list_value_length(x)).as_py() or 0) for x in (q["asked"], c["v"]))
             held, ids, asking = _matrix(c["v"], width), c["vec_id"].to_numpy(), q["query"].to_numpy()
+            numbers = q["number"].to_numpy()
             wanted = _matrix(q["asked"], width)
             for at in range(0, len(asking), ROWS):
                 scores = accumulate(wanted[at : at + ROWS], held)
                 for i, row in enumerate(scores):
                     top = best(row, ids, asking[at + i], k)
-                    found.append((np.full(len(top), asking[at + i]), ids[top], np.array([max(-limit, min(limit - 1, int(x))) for x in row[top]], np.int64), np.full(len(top), at + i)))
+                    found.append((np.full(len(top), asking[at + i]), ids[top], np.array([max(-limit, min(limit - 1, int(x))) for x in row[top]], np.int64), np.full(len(top), numbers[at + i])))
         columns = [np.concatenate(x) if found else np.zeros(0, np.int64) for x in (zip(*found, strict=True) if found else [()] * 4)]
         return pa.table({"query_id": columns[0].astype(np.int64), "vec_id": columns[1].astype(np.int64), "score": columns[2], "row": columns[3].astype(np.int64)})
 
-    asked = asked.select(F.col("block").alias("b"), F.col("lot").alias("l"), F.col("vec_id").alias("query"), F.col("v").alias("asked"))
+    asked = asked.select(F.col("block").alias("b"), F.col("lot").alias("l"), F.col("vec_id").alias("query"), F.col("v").alias("asked"), "number")
     lists = asked.groupBy("b", "l").cogroup(held.select("block", "lot", "vec_id", "v").groupBy("block", "lot")).applyInArrow(meet, "query_id long, vec_id long, score long, row long")
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")).cast("int")
+    place = F.row_number().over(Window.partitionBy("query_id", "row").orderBy(F.desc("score"), "vec_id")).cast("int")
     return lists.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

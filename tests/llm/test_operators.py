@@ -127,6 +127,8 @@ def test_top_k(spark):
     want = brute_top(vectors, 7)
     assert dict(got) == {q: want[q] for q in range(0, 120, 10)}
     assert topk.top_k(table.limit(0), table).collect() == []
+    twice = topk.top_k(table.filter("vec_id = 10").union(table.filter("vec_id = 10")), table, 7).collect()  # each row asks
+    assert sorted((r["rank"], r.vec_id, r.score) for r in twice) == sorted((i + 1, *x) for i, x in enumerate(want[10]) for _ in range(2))
     huge = topk.quantised(spark.createDataFrame([(1, [3e300, 1.0]), (2, [2e300, 1.0]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>"), "vec_id", "embedding")
     assert [(r.vec_id, r.score) for r in topk.top_k(huge.filter("vec_id = 1"), huge).orderBy("rank").collect()] == [(2, 2**63 - 1), (3, 256 * 256)]
 
