@@ -57,6 +57,7 @@ REPORTING = set("said says say called wrote word words term terms quote quoted q
 ADDRESS = set("you your you're u ur vous tu toi votre du dich dein sie ihr tú usted eres".split())
 _OPEN, _CLOSE = "\"“«„‘'`(", "\"”»“’'`)"
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+_INNER = re.compile(r"[^\w$@]+|_+")
 _RUNS = re.compile(r"(\w)\1{2,}")
 _PUNCTUATION = ".,;:!?\"'()[]{}<>|*#&%$_-+=/\\“”„«»‘’`…"
 #: Words and states that a worker remembers.
@@ -162,6 +163,8 @@ class Lexicon:
         found = self.find(word)
         if not found and (_RUNS.search(word) or not word.isalpha() and any(c.isalpha() for c in word)):
             found = 3 if self.find(_RUNS.sub(r"\1", _EDGE.sub("", word).translate(LEET))) else 0
+        if not found and len(parts := _INNER.split(word)) > 1:  # words joined by a stroke, or with an ending after an apostrophe
+            found = min((k for k in map(self.find, parts) if k), default=0)
         return found
 
 
@@ -238,6 +241,8 @@ class Scanner:
             if not tail.any():
                 break
             stops[tail] -= 1
+        inner = np.concatenate(([0], np.cumsum(symbols == 0)))
+        closer.append(words[inner[np.maximum(stops, at)] > inner[at]])  # punctuation inside
         says = np.array(self.lexicon.says)
         while len(words):
             live = at < stops[words]

@@ -35,6 +35,16 @@ def test_stems_and_disguise():
     assert [lexicon.kind(w) for w in ("Clown!", "cl0wn", "clwn", "clooown", "crowns", "vequoir", "bvequ", "", "--")] == [1, 3, 3, 3, 0, 2, 0, 0, 0]
 
 
+def test_parts_of_joined_words():
+    lexicon = X.Lexicon({"clown": False, "idiot": False})
+    assert [lexicon.kind(w) for w in ("xyz/clown", "Idiot's", "clown-like", "not-here", "clwn/xyz", "a_clown")] == [1, 1, 1, 0, 3, 1]
+    scan = X.Scanner({"clown": False, "idiot": False})
+    import pyarrow as pa
+
+    for _, _, texts in X.chunks(pa.array(["zzz/clown and (idiot's) 'so' be-it", "nothing to-see here..."])):
+        assert (scan.evidence(texts)[:, 0] > 0).tolist() == [True, False]
+
+
 def test_quotation_counts_less():
     abuse, quoted = "you are a clown and nothing else".split(), 'she was called a "clown" by a man'.split()
     assert X._context(abuse, 3) > 1 > X._context(quoted, 4)
