@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import argparse
 import logging
+import resource
 import sys
 import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandframe.operators.reads import check_skipped, counters
+from strandframe import scratch
+from strandframe.operators.reads import check_skipped, observed
 from strandframe.options import QueryOptions, parse_codes, parse_size, warn_untried, with_thresholds
 from strandframe.plans import queries as plans
 from strandframe.sinks import text as sinks
@@ -59,20 +61,30 @@ def query_options(a: argparse.Namespace) -> QueryOptions:
     return QueryOptions(tuple(codes), getattr(a, "insertions", False), getattr(a, "haplotypes", False), a.allow_secondary, a.skip_supplementary, batch_reads=a.batchsize, batch_bytes=parse_size(a.max_bytes), threads=a.threads)
 
 
-def lines(spark: SparkSession, a: argparse.Namespace) -> tuple[str | None, DataFrame]:
+def lines(spark: SparkSession, a: argparse.Namespace, path: str) -> tuple[str | None, DataFrame]:
+    """Header and lines. The alignments are decoded once: results go to a table at ``path``, with counters seen on the way, and only that is sorted."""
     options = query_options(a)
+    for c in options.codes if a.command != "summary" else ():
+        log.info("code %s in context %s, threshold %s", c.code, c.context, c.threshold)
     reads = read_alignments(spark, a.alignments)
     if a.debug_break >= 0:
         reads = reads.limit((a.debug_break + 1) * options.batch_reads)
-    seen = counters(reads, a.allow_secondary, a.skip_supplementary).first()
-    log.info("records: %d, skipped %d, processed %d; bytes: %d, processed %d", *seen)
-    check_skipped(seen.total_reads, seen.processed_reads, a.strict)
+    reads, seen = observed(reads, allow_secondary=a.allow_secondary, skip_supplementary=a.skip_supplementary)
     if a.command == "summary":
-        return sinks.summary_lines(plans.summary(reads, a.allow_secondary, a.skip_supplementary).orderBy("record_idx"))
-    reference = read_reference_chunks(spark, a.reference, pad=max(len(c.context) for c in options.sought().values()))
+        rows = plans.summary(reads, a.allow_secondary, a.skip_supplementary)
+    else:
+        reference = read_reference_chunks(spark, a.reference, pad=max(len(c.context) for c in options.sought().values()))
+        rows = (plans.view if a.command == "view" else plans.freq)(reads, reference, options)
+    rows.write.parquet(path)
+    n = seen.get
+    log.info("records: %d, skipped %d, processed %d; bytes: %d, processed %d", n["total_reads"], n["total_reads"] - n["processed_reads"], n["processed_reads"], n["total_bytes"], n["processed_bytes"])
+    check_skipped(n["total_reads"], n["processed_reads"], a.strict)
+    rows = spark.read.schema(rows.schema).parquet(path)
+    if a.command == "summary":
+        return sinks.summary_lines(rows.orderBy("record_idx"))
     if a.command == "view":
-        return sinks.view_lines(plans.in_view_order(plans.view(reads, reference, options)))
-    rows = plans.in_freq_order(plans.freq(reads, reference, options))
+        return sinks.view_lines(plans.in_view_order(rows))
+    rows = plans.in_freq_order(rows)
     return sinks.bedmethyl_lines(plans.bedmethyl(rows)) if a.bedmethyl else sinks.freq_lines(rows)
 
 
@@ -80,8 +92,10 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     logging.basicConfig(level=LEVELS[max(0, min(6, a.verbose))], stream=sys.stderr)
     began = time.time()
-    spark = SparkSession.builder.appName("strandframe").config("spark.sql.execution.arrow.maxRecordsPerBatch", a.batchsize).getOrCreate()
-    header, rows = lines(spark, a)
+    builder = SparkSession.builder.appName("strandframe").config("spark.sql.execution.arrow.maxRecordsPerBatch", a.batchsize)
+    spark = builder.config("spark.sql.execution.arrow.maxBytesPerBatch", parse_size(a.max_bytes)).getOrCreate()
+    path = scratch.folder(spark)
+    header, rows = lines(spark, a, path)
     if a.output:
         sinks.write_lines(header, rows, a.output, one_file=True)
     else:
@@ -89,7 +103,9 @@ def main(argv: list[str] | None = None) -> int:
             print(header)
         for row in rows.select(F.col("value")).toLocalIterator():  # part by part
             print(row.value)
-    log.info("%s took %.1f s", " ".join(argv or sys.argv[1:]), time.time() - began)
+    scratch.delete(spark, path)
+    used = resource.getrusage(resource.RUSAGE_SELF)
+    log.info("%s took %.1f s; this process: %.1f s of CPU, %.0f MB at most", " ".join(argv or sys.argv[1:]), time.time() - began, used.ru_utime + used.ru_stime, used.ru_maxrss / 1024)
     return 0
 
 

@@ -48,7 +48,9 @@ def observed(reads: DataFrame, name: str = "reads", **flags: bool) -> tuple[Data
     """The reads, and an observation of the same counters that costs no pass of its own."""
     seen = Observation(name)
     ok = F.coalesce(kept(**flags), F.lit(False)).cast("long")
-    return reads.observe(seen, F.count(F.lit(1)).alias("total_reads"), F.sum(ok).alias("processed_reads")), seen
+    size = F.col("data_len") if "data_len" in reads.columns else F.length("seq").cast("long")
+    sums = {"processed_reads": ok, "total_bytes": size, "processed_bytes": size * ok}
+    return reads.observe(seen, F.count(F.lit(1)).alias("total_reads"), *[F.coalesce(F.sum(x), F.lit(0)).alias(k) for k, x in sums.items()]), seen
 
 
 def check_skipped(total: int, processed: int, strict: bool = False) -> str | None:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strandframe import roundtrips
 from strandframe.operators import calls, compare, context, reads, relational
 from strandframe.options import ModCode, QueryOptions, parse_codes, with_thresholds
 from strandframe.plans import queries as plans
@@ -215,7 +216,14 @@ def queries() -> dict[str, Query]:
         "context_sites_rev": _sites(ModCode("x", "ACG"), True),
     }
     found |= {k: _view(o) for k, o in VIEWS.items()} | {k: _freq(o) for k, o in FREQS.items()}
-    return found | {"freq_bedmethyl": bedmethyl, "freq_from_view": freq_from_view, "summary": summary, "compare_view": compare_view, "compare_freq": compare_freq, "freq_correlation": freq_correlation, "strand_fold": strand_fold}
+    return found | roundtrips.queries() | {"freq_bedmethyl": bedmethyl, "freq_from_view": freq_from_view, "summary": summary, "compare_view": compare_view, "compare_freq": compare_freq, "freq_correlation": freq_correlation, "strand_fold": strand_fold}
+
+
+def oracle_summary() -> str:
+    return f"""WITH {ctes(True)}, {kept_sql()}, g AS (SELECT record_idx, unnest(range(len(string_split(mm, ';')))) AS i, unnest(string_split(mm, ';')) AS g FROM kept),
+     e AS (SELECT record_idx, i, replace(upper(g[1]), 'U', 'T') || '|' || regexp_extract(g, '^.[+-]([A-Za-z]+|[0-9]+)', 1) || '|' || CASE WHEN g LIKE '%?%' THEN '?' ELSE '.' END AS entry FROM g WHERE g LIKE '%,%'),
+     f AS (SELECT record_idx, entry, min(i) AS i FROM e GROUP BY ALL), l AS (SELECT record_idx, list(entry ORDER BY i) AS entries FROM f GROUP BY record_idx)
+     SELECT k.record_idx, qname AS read_id, coalesce(entries, []) AS modifications FROM kept k LEFT JOIN l ON k.record_idx = l.record_idx"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -247,9 +255,34 @@ def oracle_sql() -> dict[str, str]:
         "freq_correlation": f"WITH {both}, x AS ({fold.format('a')}), y AS ({fold.format('b')}) SELECT count(*)::BIGINT AS n_sites, round(coalesce(corr(x.n_mod::DOUBLE / x.n_called, y.n_mod::DOUBLE / y.n_called), 0), 9) AS r FROM x JOIN y USING (contig, start)",
         "strand_fold": f"WITH {counts_sql(options())} {fold.format('counts')}",
     }
-    found["summary"] = f"""{base}, g AS (SELECT record_idx, unnest(range(len(string_split(mm, ';')))) AS i, unnest(string_split(mm, ';')) AS g FROM kept),
-     e AS (SELECT record_idx, i, replace(upper(g[1]), 'U', 'T') || '|' || regexp_extract(g, '^.[+-]([A-Za-z]+|[0-9]+)', 1) || '|' || CASE WHEN g LIKE '%?%' THEN '?' ELSE '.' END AS entry FROM g WHERE g LIKE '%,%'),
-     f AS (SELECT record_idx, entry, min(i) AS i FROM e GROUP BY ALL), l AS (SELECT record_idx, list(entry ORDER BY i) AS entries FROM f GROUP BY record_idx)
-     SELECT k.record_idx, qname AS read_id, coalesce(entries, []) AS modifications FROM kept k LEFT JOIN l ON k.record_idx = l.record_idx"""
+    found["summary"] = oracle_summary()
     found |= {k: view_sql(o) for k, o in VIEWS.items()} | {k: freq_sql(o) for k, o in FREQS.items()}
-    return found
+    return found | file_sql()
+
+
+def file_sql() -> dict[str, str]:
+    """What comes back from files, as it was before it was written."""
+    six = lambda x: f"printf('%.6f', {x})::DOUBLE"
+    fields = "qname, flag, contig, pos, cigar, seq, mm, ml, hp"
+    freq, view, every = (f"({x(o)})" for x, o in ((freq_sql, options()), (view_sql, options()), (freq_sql, roundtrips.ALL)))
+    pad, chunk = roundtrips.PAD, roundtrips.CHUNK
+    outcome = "CASE WHEN a.k IS NULL THEN 'missing_in_file1' WHEN b.k IS NULL THEN 'missing_in_file2' WHEN abs(a.v - b.v) > {}::DOUBLE THEN 'large_diff' ELSE 'in_both' END AS outcome"
+    values = "a.v AS value_1, b.v AS value_2, abs(a.v - b.v) AS diff"
+    fewer = f"({view_sql(options(skip_supplementary=True))})"
+    return {
+        "file_sam": f"WITH {ctes(True)} SELECT {fields} FROM reads",
+        "file_bam": f"WITH {ctes(True)} SELECT r.*, length(c.seq)::INT AS contig_len FROM (SELECT {fields} FROM reads) r JOIN contigs c USING (contig)",
+        "file_fasta_chunks": f"WITH {ctes(True)} SELECT contig, length(seq)::INT AS ref_len, n::INT AS ref_chunk, greatest(n * {chunk} - {pad}, 0)::INT AS ref_offset, substr(seq, greatest(n * {chunk} - {pad}, 0) + 1, (n + 1) * {chunk} + {pad} - greatest(n * {chunk} - {pad}, 0)) AS seq FROM contigs, unnest(range((length(seq) + {chunk - 1}) // {chunk})) AS u(n)",
+        "file_freq_by_chunk": freq_sql(options()),
+        "file_view_tsv": f"SELECT ref_contig, ref_pos, strand, read_id, read_pos, mod_code, {six('mod_prob')} AS mod_prob FROM {view}",
+        "file_freq_tsv": f'SELECT contig, start, "end", strand, n_called, n_mod, {six("freq")} AS freq, mod_code, ins_offset, haplotype FROM {every}',
+        "file_bedmethyl": f'SELECT contig, start, start + 1 AS "end", mod_code, strand, n_called, percent, trunc(percent / 100 * n_called)::BIGINT AS n_mod FROM (SELECT *, {six("n_mod * 100.0::DOUBLE / n_called")} AS percent FROM {freq})',
+        "file_summary": f"SELECT read_id || chr(9) || array_to_string(list_transform(modifications, lambda x: x || ' '), '') AS value FROM ({oracle_summary()})",
+        "file_regions": f"SELECT contig, start, strand, n_called, mod_code FROM {freq} WHERE start >= length(contig) * 3 AND start < length(contig) * 20",
+        "file_truth_tsv": f"SELECT contig, start, strand, n_called, n_mod FROM {freq} WHERE strand = '+' AND start % 2 = 0",
+        "compare_view_extract": f"WITH a AS (SELECT *, 1 AS k, mod_prob AS v FROM {view}), b AS (SELECT *, 1 AS k, mod_prob AS v FROM {fewer}) SELECT ref_contig, ref_pos, strand, read_id, read_pos, mod_code, {values}, {outcome.format('0.002')} FROM a FULL OUTER JOIN b USING (ref_contig, ref_pos, strand, read_id, read_pos, mod_code)",
+        "compare_freq_script": f"WITH a AS (SELECT *, 1 AS k, freq AS v FROM {freq}), b AS (SELECT *, 1 AS k, floor((freq + CASE WHEN start % 7 = 0 THEN 0.25::DOUBLE ELSE 0 END) * 100 + 0.5) / 100 AS v FROM {freq}) SELECT contig, start, strand, mod_code, {values}, {outcome.format('0.005')} FROM a FULL OUTER JOIN b USING (contig, start, strand, mod_code)",
+        "order_freq": f"SELECT contig, start, strand, mod_code, ins_offset, haplotype, row_number() OVER (ORDER BY encode(contig), start, strand, mod_code, ins_offset, haplotype) - 1 AS place FROM {every}",
+        "order_view": f"SELECT record_idx, ref_pos, strand, mod_code, row_number() OVER (ORDER BY record_idx, encode(ref_contig), ref_pos, strand, mod_code) - 1 AS place FROM {view}",
+        "observed_counters": f"WITH {ctes(True)}, {kept_sql()} SELECT (SELECT count(*) FROM reads)::BIGINT AS total_reads, (SELECT count(*) FROM kept)::BIGINT AS processed_reads",
+    }

@@ -240,7 +240,7 @@ def sam_line(r):
     return "\t".join([r["qname"], str(r["flag"]), r["contig"], str(r["pos"] + 1), "60", r["cigar"], "*", "0", "0", r["seq"], "*", *tags])
 
 
-def test_sources_and_command(spark, reads, tmp_path, capsys):
+def test_sources_and_command(spark, reads, tmp_path, capsys, caplog):
     from strandframe import cli
 
     (tmp_path / "x.sam").write_text("@HD\tVN:1.6\n" + "".join(sam_line(r) + "\n" for r in reads))
@@ -258,6 +258,10 @@ def test_sources_and_command(spark, reads, tmp_path, capsys):
     assert [x.split("\t")[0] for x in out[1:]] == sorted(x.split("\t")[0] for x in out[1:])
     cli.main(["summary", str(tmp_path / "x.sam"), "-o", str(tmp_path / "out")])
     text = next((tmp_path / "out").glob("part-*")).read_text().splitlines()
+    with caplog.at_level("INFO", "strandframe"):
+        cli.main(["view", str(tmp_path / "ref.fa"), str(tmp_path / "x.bam"), "-o", str(tmp_path / "view")])
+    assert f"records: {len(reads)}, skipped {len(reads) - len(kept(reads, QueryOptions()))}," in caplog.text and "MB at most" in caplog.text
+    assert tables.read_view_tsv(spark, str(tmp_path / "view")).count() > 20
     assert text[0] == sinks.SUMMARY_HEADER and len(text) == 1 + len(kept(reads, QueryOptions()))
     cli.main(["mod-freq", str(tmp_path / "ref.fa"), str(tmp_path / "x.bam"), "-b"])
     assert all(len(x.split("\t")) == 11 for x in capsys.readouterr().out.splitlines())
