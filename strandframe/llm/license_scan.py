@@ -42,6 +42,19 @@ TEMPLATES = [
     ("creative commons attribution sharealike license", "cc-by-sa"),
     ("permission to use copy modify and or distribute this software for any purpose", "isc"),
     ("free and unencumbered software released into the public domain", "unlicense"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
+    ("you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
+    ("unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "apache-2"),
+    ("redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", "bsd"),
+    ("redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation", "bsd"),
+    ("neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products", "bsd"),
+    ("this source code form is subject to the terms of the mozilla public license", "mpl-2"),
+    ("provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+    ("without any express or implied warranty in no event will the authors be held liable for any damages arising from the use", "zlib"),
+    ("anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "unlicense"),
+    ("to the extent possible under law the author has waived all copyright and related or neighboring rights to this work", "cc0"),
+    ("distributed under the boost software license version 1 0", "boost"),
+    ("made available under the terms of the eclipse public license", "epl"),
 ]
 BLOCK, CONTAINED = 48, 0.85
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

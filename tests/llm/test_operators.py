@@ -470,3 +470,19 @@ def test_pipeline_odd_tables(spark, tmp_path):
     assert kept.columns == corpus_pipeline.COLUMNS
     assert Counter((r.doc_id, r.text) for r in kept.collect()) == {(1, a): 1, (2, b): 1, (None, c): 2}
     assert corpus_pipeline.run(spark, f"{tmp_path}/some").count() == 6
+
+
+def test_license_notices_of_any_case(spark):
+    """Whole notices, spread over lines and set in capitals, among other text; odd tables."""
+    rng = random.Random(4)
+    other = lambda n: " ".join("".join(rng.choice("etaoins") for _ in range(5)) for _ in range(n))
+    rows = []
+    for i, (sentence, _) in enumerate(license_scan.TEMPLATES):
+        words = sentence.upper().split() if i % 2 else sentence.split()
+        rows.append((i, other(rng.randint(0, 90)) + ". " + "".join(w + rng.choice([" ", "\n * ", ", ", "-"]) for w in words) + other(rng.randint(0, 90)), "mine", 3.5))
+    rows += [(100, other(500), "mine", 3.5), (100, other(500), None, None), (101, None, None, None)]
+    got = license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string, labels string, score double")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (license_scan.TEMPLATES[r.doc_id][1] in r.labels.split(",")) if r.doc_id < 100 else (r.labels, r.n_base, r.score) == ("", 0, 0.0)
+    assert license_scan.scan_licenses(spark.createDataFrame([], "doc_id long, text string, labels string")).collect() == []
