@@ -59,6 +59,11 @@ def context_sites(reference: DataFrame, code: ModCode, reverse: bool = False) ->
     return positions.filter(in_context(window, F.lit(pattern))).select("contig", "ref_pos")
 
 
+def on_contigs(reads: DataFrame, reference: DataFrame) -> DataFrame:
+    """The reads whose contig the reference has."""
+    return reads.join(contig_lengths(reference), F.col("contig") == F.col("ref_contig"), "left_semi")
+
+
 def with_lengths(reads: DataFrame, reference: DataFrame, contigs: int) -> DataFrame:
     """Adds ref_len, the length of the read's contig by the reference: null if it lacks that. The kernel makes an error of it, whatever is asked for."""
     lengths = contig_lengths(reference)

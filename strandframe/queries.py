@@ -199,6 +199,11 @@ def strand_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.folded(_freq(FREQS["freq_default"])(spark, sf_dir))
 
 
+def contig_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, reference = reads_and_reference(spark, sf_dir)
+    return context.on_contigs(rows, reference.filter("contig like '%1%'")).select("record_idx", "contig")
+
+
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "reads_filter_flags": filter_flags,
@@ -216,7 +221,7 @@ def queries() -> dict[str, Query]:
         "context_sites_rev": _sites(ModCode("x", "ACG"), True),
     }
     found |= {k: _view(o) for k, o in VIEWS.items()} | {k: _freq(o) for k, o in FREQS.items()}
-    return found | roundtrips.queries() | {"freq_bedmethyl": bedmethyl, "freq_from_view": freq_from_view, "summary": summary, "compare_view": compare_view, "compare_freq": compare_freq, "freq_correlation": freq_correlation, "strand_fold": strand_fold}
+    return found | roundtrips.queries() | {"contig_presence": contig_presence, "freq_bedmethyl": bedmethyl, "freq_from_view": freq_from_view, "summary": summary, "compare_view": compare_view, "compare_freq": compare_freq, "freq_correlation": freq_correlation, "strand_fold": strand_fold}
 
 
 def oracle_summary() -> str:
@@ -245,6 +250,7 @@ def oracle_sql() -> dict[str, str]:
         "mm_call_rank": f"{steps} SELECT record_idx, grp, base, call, rank::BIGINT AS rank, ml_start::BIGINT AS ml_start FROM calls",
         "ml_lookup": f"{steps} SELECT v.record_idx, v.grp, v.call, v.code, k.ml[v.ml_start + v.m + 1] AS ml FROM (SELECT c.*, unnest(range(len(g.lookup))) AS m, unnest(g.lookup) AS code FROM calls c JOIN groups g ON c.record_idx = g.record_idx AND c.grp = g.grp) v JOIN kept k ON v.record_idx = k.record_idx",
         "called_bases": f"{steps} SELECT record_idx, grp, call, rank::BIGINT AS rank, rp FROM stated WHERE call IS NOT NULL",
+        "contig_presence": f"WITH {ctes(True)} SELECT record_idx, contig FROM reads WHERE contig LIKE '%1%'",
         "skipped_bases": f"{steps} SELECT s.record_idx, s.grp, s.rank::INT AS rank, s.rp FROM stated s JOIN groups g ON s.record_idx = g.record_idx AND s.grp = g.grp WHERE s.call IS NULL AND g.flag = '.'",
         "context_sites_fwd": _sites_sql(ModCode("x", "ACG"), False),
         "context_sites_rev": _sites_sql(ModCode("x", "ACG"), True),

@@ -345,6 +345,13 @@ def test_streams(spark, frames, tmp_path):
     o = QueryOptions(tuple(parse_codes("m")))
     frames[0].repartition(4).write.parquet(str(tmp_path / "in"))
     stream = incremental.read_stream(spark, str(tmp_path / "in"), files_per_trigger=1)
-    for name, rows, mode, want in (("f", incremental.stream_freq(stream, frames[1], o), "complete", plans.freq(*frames, o)), ("s", incremental.stream_summary(stream), "append", plans.summary(frames[0]))):
+    for name, rows, mode, want in (("f", plans.freq(stream, frames[1], o), "complete", plans.freq(*frames, o)), ("s", plans.summary(stream), "append", plans.summary(frames[0]))):
         incremental.start(rows, name, str(tmp_path / name), mode).awaitTermination()
         assert sorted(map(repr, spark.table(name).collect())) == sorted(map(repr, want.collect()))
+    out = str(tmp_path / "view_out")
+    for _ in range(2):  # the second run finds nothing new
+        incremental.start_files(plans.view(stream, frames[1], o), out, str(tmp_path / "view")).awaitTermination()
+        incremental.start_counts(stream, frames[1], o, str(tmp_path / "counts"), str(tmp_path / "c")).awaitTermination()
+    assert sorted(map(repr, spark.read.parquet(out).collect())) == sorted(map(repr, plans.view(*frames, o).collect()))
+    assert len(list((tmp_path / "counts").glob("batch=*"))) == 4
+    assert sorted(map(repr, incremental.total_counts(spark, str(tmp_path / "counts")).collect())) == sorted(map(repr, plans.freq(*frames, o).collect()))
