@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandframe.llm.textvec import Texts, chunks, mix, segment_hashes, window_hashes
+from strandframe.llm.textvec import SCANNED, Texts, chunks, mix, segment_hashes, window_hashes
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -156,16 +156,19 @@ def quality_rules(df: DataFrame, text: str = "text", keep: list[str] | None = No
     """Adds the figures of COLUMNS (long), ``base_failed`` and ``kept`` (boolean) for each whole text. ``keep``: the columns to pass on, all if None."""
     made = [*COLUMNS, "base_failed", "kept"]
     kept = [c for c in (df.columns if keep is None else keep) if c not in made]
-    source = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("\x00text"))
-    schema = T.StructType([source.schema[c] for c in kept] + [T.StructField(c, T.LongType()) for c in [*COLUMNS, "\x00long"]])
+    # The text goes to the workers once, also if it is passed on.
+    source = df.select(*[F.col(f"`{c}`") for c in kept if c != text], F.col(f"`{text}`").alias("\x00text"))
+    n_kept = len(source.columns) - (text not in kept)
+    schema = T.StructType(source.schema.fields[:n_kept] + [T.StructField(c, T.LongType()) for c in [*COLUMNS, "\x00long"]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row, to, texts in chunks(batch.column(batch.num_columns - 1)):
-                out = [batch.column(i).slice(row, to - row) for i in range(batch.num_columns - 1)]
+            for row, to, texts in chunks(batch.column(batch.num_columns - 1), SCANNED):
+                out = [batch.column(i).slice(row, to - row) for i in range(n_kept)]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(x.astype(np.int64)) for x in _measures(texts)], names=schema.names)
 
     n, again = F.col("n_words"), F.col("n_repeat_words")
     failed = (n < MIN_WORDS) | (100 * again > MAX_REPEAT_PERCENT * n)
     limited = (F.col("n_covered_words") <= F.lit(max_covered) * n) & (F.col("longest_repeat") <= max_longest) & (100 * F.col("\x00long") <= MAX_LONG_PERCENT * n)
-    return source.mapInArrow(run, schema).withColumn("base_failed", failed).withColumn("kept", ~failed & limited).drop("\x00long")
+    passed = [F.col("\x00text" if c == text else f"`{c}`").alias(c) for c in kept]
+    return source.mapInArrow(run, schema).select(*passed, *COLUMNS, failed.alias("base_failed"), (~failed & limited).alias("kept"))

@@ -11,7 +11,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-_STEP = 1 << 20
+#: Bytes that are hashed at once. Each worker keeps tables of twice that many numbers, two of them.
+_STEP = 1 << 18
+#: Bytes of texts that an operator looks at at once, where it needs some 40 times as much for that.
+SCANNED = 1 << 19
 _P = 0x9E3779B97F4A7C15
 _BYTES = np.random.RandomState(7).randint(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _SPACE = np.zeros(256, bool)

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandframe.llm.common import checkpointed
-from strandframe.llm.textvec import Texts, chunks, mix, shingle_sets
+from strandframe.llm.textvec import SCANNED, Texts, chunks, mix, shingle_sets
 
 #: The one bound of the fit: labelled rows. Which words are looked at and kept is a matter of evidence alone.
 LABELS_MOST = 20_000
@@ -419,29 +419,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
     return np.append(min(w[0], 0), np.maximum(w[1:], 0))
 
 
-def _features(df: DataFrame, terms: dict[str, bool], text: str) -> DataFrame:
-    """The other columns, and of ``text`` the features of the model, each from 0 to 1: presence and density of each kind of hit."""
+def _features(df: DataFrame, terms: dict[str, bool], text: str, passed: bool = False) -> DataFrame:
+    """The other columns, and of ``text`` the features of the model, each from 0 to 1: presence and density of each kind of hit. ``passed``: with the text itself, which goes to the workers once."""
     kept = [c for c in df.columns if c != text]
-    schema = T.StructType([df.schema[c] for c in kept] + [T.StructField(f"\x00f{k}", T.DoubleType()) for k in range(2 * KINDS)])
+    sent = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`"))
+    n = len(kept) + passed
+    schema = T.StructType(sent.schema.fields[:n] + [T.StructField(f"\x00f{k}", T.DoubleType()) for k in range(2 * KINDS)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(tuple(sorted(terms.items())))
         for batch in batches:
-            for row, to, texts in chunks(batch.column(batch.num_columns - 1)):
+            for row, to, texts in chunks(batch.column(batch.num_columns - 1), SCANNED):
                 found = scan.evidence(texts)
                 dense = found / (DENSE * np.maximum(np.diff(texts.first), 50))[:, None]
                 found = np.hstack((1 - np.exp(-found), np.minimum(1, dense)))
-                out = [batch.column(i).slice(row, to - row) for i in range(batch.num_columns - 1)]
+                out = [batch.column(i).slice(row, to - row) for i in range(n)]
                 yield pa.RecordBatch.from_arrays(out + [pa.array(np.ascontiguousarray(found[:, k])) for k in range(2 * KINDS)], names=schema.names)
 
-    return df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`")).mapInArrow(run, schema)
+    return sent.mapInArrow(run, schema)
 
 
 def score_toxicity(df: DataFrame, model: Model, text: str = "text", score: str = "score", keep: list[str] | None = None) -> DataFrame:
     """Adds ``score`` (0 to 1, higher: toxic likelier) of each whole text. ``keep``: the columns to pass on, all if None."""
     kept = [c for c in (df.columns if keep is None else keep) if c != score]
-    found = _features(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("\x00text")), model.terms, "\x00text")
+    found = _features(df.select(*[F.col(f"`{c}`") for c in kept if c != text], F.col(f"`{text}`").alias("\x00text")), model.terms, "\x00text", text in kept)
     total = F.lit(float(model.weights[0]))
     for k in range(2 * KINDS):
         total = total + F.col(f"\x00f{k}") * float(model.weights[k + 1])
-    return found.select(*[F.col(f"`{c}`") for c in kept], (1 / (1 + F.exp(-total))).alias(score))
+    return found.select(*[F.col("\x00text" if c == text else f"`{c}`").alias(c) for c in kept], (1 / (1 + F.exp(-total))).alias(score))

@@ -1,9 +1,12 @@
 """The automaton against edit distance; learning on a small fixture; odd inputs."""
 
 import random
+import tracemalloc
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from strandframe.llm import quality, textvec
 from strandframe.llm import toxicity as X
 
 
@@ -39,8 +42,6 @@ def test_parts_of_joined_words():
     lexicon = X.Lexicon({"clown": False, "idiot": False})
     assert [lexicon.kind(w) for w in ("xyz/clown", "Idiot's", "clown-like", "not-here", "clwn/xyz", "a_clown")] == [1, 1, 1, 0, 3, 1]
     scan = X.Scanner({"clown": False, "idiot": False})
-    import pyarrow as pa
-
     for _, _, texts in X.chunks(pa.array(["zzz/clown and (idiot's) 'so' be-it", "nothing to-see here..."])):
         assert (scan.evidence(texts)[:, 0] > 0).tolist() == [True, False]
 
@@ -99,3 +100,39 @@ def test_nothing_to_learn(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     model = X.fit(docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert model.terms == {} and X.score_toxicity(docs, model).collect() == []
+
+
+def test_workers_get_each_text_once(spark, monkeypatch):
+    """Executors hold a batch of texts in the JVM and in Python: one copy each, also if the text is passed on."""
+    docs = spark.createDataFrame([(1, "you clown, you", "x"), (2, None, "y"), (3, "", "z")], "doc_id long, text string, lang string")
+    sent, mapped = [], type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, *a, **b: sent.append(self.columns) or mapped(self, *a, **b))
+    model = X.Model({"clown": False}, X.PRIOR)
+    scored, ruled = X.score_toxicity(docs, model, keep=["text", "doc_id"]), quality.quality_rules(docs, keep=["text", "doc_id"])
+    assert [len(x) for x in sent] == [2, 2]
+    assert scored.columns == ["text", "doc_id", "score"] and ruled.columns == ["text", "doc_id", *quality.COLUMNS, "base_failed", "kept"]
+    whole = {r.doc_id: r for r in docs.collect()}
+    alone = {r.doc_id: r.score for r in X.score_toxicity(docs, model, keep=["doc_id"]).collect()}
+    assert all(r.text == whole[r.doc_id].text and r.score == alone[r.doc_id] for r in scored.collect())
+    assert {r.doc_id: (r.text, r.n_words) for r in ruled.collect()} == {1: ("you clown, you", 3), 2: (None, 0), 3: ("", 0)}
+    assert X.score_toxicity(docs, model).columns == [*docs.columns, "score"] and len(sent[-1]) == 3
+
+
+def test_scans_in_little_memory(spark, monkeypatch):
+    """What a worker needs beside its batch of texts doesn't grow with the batch, and is small beside an executor's share."""
+    rng = random.Random(3)
+    texts = pa.array([" ".join("".join(rng.choice("etaoinclw") for _ in range(rng.randint(2, 8))) for _ in range(400)) for _ in range(2000)])
+    df = spark.createDataFrame([], "text string")
+    runs, mapped = [], type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: runs.append(run) or mapped(self, run, schema))
+    X._features(df, {"clown": False, "idiot": False}, "text")
+    quality.quality_rules(df, keep=[])
+    textvec._powers.clear()
+    for run in runs:
+        tracemalloc.start()
+        try:
+            assert sum(x.num_rows for x in run(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))) == len(texts)
+            assert tracemalloc.get_traced_memory()[1] < 45e6
+        finally:
+            tracemalloc.stop()
+    assert 0 < sum(x.nbytes for x in textvec._powers) < 1 << 24
